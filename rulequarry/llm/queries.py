@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, sharding, tokens
+from . import decontaminate, lattice, mixing, quality, secrets, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_quality": quality.op3_quality,
+    "op5_lattice": lattice.op5_lattice,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_secrets": secrets.op8_secrets,
     "op10_mixing": mixing.op10_mixing,
