@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lattice, mixing, quality, secrets, sharding, tokens
+from . import decontaminate, jaccard, lattice, mixing, quality, secrets, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_quality": quality.op3_quality,
     "op5_lattice": lattice.op5_lattice,
     "op6_decontamination": decontaminate.op6_decontamination,
@@ -17,4 +18,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets.op8_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.sql(), "op10_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.sql(), "op2_jaccard": jaccard.sql(), "op10_mixing": mixing.SQL}
