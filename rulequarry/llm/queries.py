@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lattice, mixing, quality, secrets, sharding, tokens
+from . import decontaminate, jaccard, lattice, mixing, quality, secrets, sharding, suffixes, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_secrets": secrets.op8_secrets,
+    "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.sql(), "op2_jaccard": jaccard.sql(), "op10_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.sql(), "op2_jaccard": jaccard.sql(), "op9_suffix_dedup": suffixes.sql(), "op10_mixing": mixing.SQL}
