@@ -36,6 +36,20 @@ def _encoder(path: str):
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@cache
+def _token_bytes(path: str) -> np.ndarray:
+    coder = _encoder(path)
+    out = np.zeros(coder.n_vocab + 1, np.int64)
+    for piece, rank in coder._mergeable_ranks.items():
+        out[rank] = len(piece)
+    return out
+
+
+def _end_to_end(names: pa.Array) -> str:
+    lists = pa.LargeListArray.from_arrays(pa.array([0, len(names)], pa.int64()), names)
+    return pc.binary_join(lists, " ")[0].as_py()
+
+
 def encode(column: pa.Array, path: str = VOCABULARY, eod: int = EOD) -> np.ndarray:
     """Token ids of all rows end to end, every row followed by ``eod``; a null row has no tokens.
 
@@ -44,28 +58,44 @@ def encode(column: pa.Array, path: str = VOCABULARY, eod: int = EOD) -> np.ndarr
     """
     coder = _encoder(path)
     column = column.fill_null("")
-    cut = pc.split_pattern(column, " ")
-    if pc.any(pc.match_substring(column, "  ")).as_py():
-        whole = pc.match_substring(column, "  ").to_pylist()
-        cut = pa.array([[text] if one else parts for text, one, parts in zip(column.to_pylist(), whole, cut.to_pylist())], pa.list_(column.type))
-    lengths = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+    whole = pc.match_substring(column, "  ").to_numpy(zero_copy_only=False)
+    cut = pc.split_pattern(column.filter(pa.array(~whole)), " ")
     units = pc.list_flatten(cut)
+    lengths = np.ones(len(column), np.int64)
+    lengths[~whole] = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+    # where each row's units are: those of whole texts follow all others
+    heads = np.zeros(len(column), np.int64)
+    heads[~whole] = np.cumsum(lengths[~whole]) - lengths[~whole]
+    heads[whole] = len(units) + np.arange(int(whole.sum()))
+    units = pa.concat_arrays([units, column.filter(pa.array(whole))])
     first = np.zeros(len(units), bool)
-    heads = np.cumsum(lengths) - lengths
     first[heads[lengths > 0]] = True
-    coded = units.dictionary_encode()
-    ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    names = coded.dictionary.to_pylist()
-    # a unit at the start of a row has no space before it
-    kinds, ids = np.unique(ids * 2 + ~first, return_inverse=True)
-    texts = [(" " + names[k >> 1]) if k & 1 else names[k >> 1] for k in kinds.tolist()]
-    got = coder.encode_ordinary_batch(texts, num_threads=1) + [[eod]]
-    size = np.array([len(x) for x in got], np.int64)
-    table = np.fromiter((t for x in got for t in x), np.uint16, int(size.sum()))
-    start = np.cumsum(size) - size
-    order = np.insert(ids, np.cumsum(lengths), len(got) - 1)  # the separator follows each row
+    # units with a space in front and no white space after it are encoded end to end and cut apart by their bytes
+    coded = units.filter(pa.array(~first)).dictionary_encode()
+    names = coded.dictionary
+    safe = pc.and_(pc.greater(pc.binary_length(names), 0), pc.invert(pc.utf8_is_space(pc.utf8_slice_codeunits(names, 0, 1)))).to_numpy(zero_copy_only=False)
+    joined = names.filter(pa.array(safe))
+    tokens = np.array(coder.encode_ordinary(" " + _end_to_end(joined)), np.uint16) if len(joined) else np.zeros(0, np.uint16)
+    ends = np.searchsorted(np.cumsum(_token_bytes(path)[tokens]), np.cumsum(pc.binary_length(joined).to_numpy().astype(np.int64) + 1)) + 1
+    others = [coder.encode_ordinary(" " + name) for name in names.filter(pa.array(~safe)).to_pylist()]
+    heads_ = [coder.encode_ordinary(text) for text in units.filter(pa.array(first)).to_pylist()]
+    # kinds of units: the distinct spaced ones, every first one, and the separator
+    size = np.r_[np.zeros(len(names), np.int64), np.array([len(x) for x in heads_], np.int64), 1]
+    size[: len(names)][safe] = np.diff(ends, prepend=0)
+    size[: len(names)][~safe] = [len(x) for x in others]
+    place = np.cumsum(size) - size
+    table = np.full(int(size.sum()), eod, np.uint16)
+    kind = np.repeat(np.r_[np.where(safe, 0, 1), np.full(len(heads_), 2), 3], size)
+    table[kind == 0] = tokens
+    for k, lists in ((1, others), (2, heads_)):
+        table[kind == k] = np.fromiter((t for x in lists for t in x), np.uint16, sum(map(len, lists)))
+    ids = np.zeros(len(units), np.int64)
+    ids[~first] = coded.indices.to_numpy(zero_copy_only=False)
+    ids[first] = len(names) + np.arange(len(heads_))
+    turn = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(heads, lengths)
+    order = np.insert(ids[turn], np.cumsum(lengths), len(size) - 1)  # the separator follows each row
     n = size[order]
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[order], n)
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(place[order], n)
     return table[at]
 
 
@@ -91,7 +121,7 @@ def write_token_files(docs: DataFrame, folder: str, *, vocabulary: str = VOCABUL
         with system.open_output_stream(name) as out:
             for batch in batches:
                 text = batch.column(1)
-                for a, b in pieces(text, 8 << 20, 1 << 20):
+                for a, b in pieces(text, 16 << 20, 1 << 20):
                     tokens = encode(text[a:b], vocabulary, eod)
                     out.write(tokens.tobytes())
                     total += len(tokens)
