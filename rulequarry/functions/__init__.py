@@ -1 +1 @@
-"""TBD"""
+"""Column builders: measures, scores, certainties, normalizers, probabilities."""

@@ -1,4 +1,4 @@
 """All rule queries by name, with their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import counting  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
