@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._common import U64, components, flat, mix64, pieces, read, shared_dir, stored, text_key, words
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.999
-BINS, SMALL, DEPTH, BLOCK = 64, 48, 5, 2000
+BINS, SMALL, DEPTH, BLOCK = 64, 256, 4, 2000
 SLACK = 0.17  # a sketch of 64 tokens is off by 0.06 (one sigma) at most
 
 
@@ -131,6 +131,20 @@ def _pairs_of(size: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarra
         done = stop
 
 
+def forest(i: np.ndarray, j: np.ndarray, parent: dict[int, int]) -> np.ndarray:
+    """Which of the edges i-j join two parts that none before them joined; ``parent`` is carried on."""
+    out = np.zeros(len(i), bool)
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
+        while (p := parent.get(a, a)) != a:
+            parent[a] = a = parent.get(p, p)
+        while (p := parent.get(b, b)) != b:
+            parent[b] = b = parent.get(p, p)
+        if a != b:
+            parent[a] = b
+            out[k] = True
+    return out
+
+
 def _struct(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([a, b], names=["a", "b"])
 
@@ -178,21 +192,26 @@ def _compare(near: float):
             ca, cb = (c.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             blk, same = table.column("blk").to_numpy(), table.column("same").to_numpy(zero_copy_only=False)
             edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            parent: dict[int, int] = {}
             for i, j in _pairs_of(np.diff(np.r_[edge, len(g)])):
                 use = same[i] | (blk[i] != blk[j])
                 i, j = i[use], j[use]
                 keep = _agree(sk[i], sk[j]) >= near
                 i, j = i[keep], j[keep]
+                tree = forest(i, j, parent)
                 swap = (ca[i] > ca[j]) | ((ca[i] == ca[j]) & (cb[i] > cb[j]))
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([_struct(pa.array(ca[i]), pa.array(cb[i])), _struct(pa.array(ca[j]), pa.array(cb[j]))], names=["c1", "c2"])
+                    yield pa.RecordBatch.from_arrays([_struct(pa.array(ca[i]), pa.array(cb[i])), _struct(pa.array(ca[j]), pa.array(cb[j])), pa.array(tree)], names=["c1", "c2", "tree"])
 
     return run
 
 
 def candidate_pairs(classes: DataFrame, folder: str, *, threshold: float, fan: int) -> DataFrame:
-    """Distinct pairs of classes that met in a node and whose sketches are close: (c1, c2), c1 < c2."""
+    """Distinct pairs of classes that met in a node and whose sketches are close: (c1, c2, tree), c1 < c2.
+
+    The pairs with ``tree`` alone connect what all pairs connect: components need only these few.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,17 +246,17 @@ def candidate_pairs(classes: DataFrame, folder: str, *, threshold: float, fan: i
         rows = rows.union(more)
     rows = rows.join(sketch, "c").select("g", "c", "blk", "same", "sk")
     ordered = rows.repartition(F.col("g")).sortWithinPartitions("g")
-    pairs = ordered.mapInArrow(_compare(threshold - SLACK), f"c1 {CLASS}, c2 {CLASS}").where("c1 <> c2").distinct()
+    pairs = ordered.mapInArrow(_compare(threshold - SLACK), f"c1 {CLASS}, c2 {CLASS}, tree boolean").where("c1 <> c2").groupBy("c1", "c2").agg(F.max("tree").alias("tree"))
     return stored(pairs, folder, "candidates")
 
 
 def verified_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, folder: str, *, n: int, threshold: float) -> DataFrame:
-    """(c1, c2, jaccard) of the candidate pairs that reach the threshold on their full sets.
+    """(c1, c2, jaccard, tree) of the candidate pairs that reach the threshold on their full sets.
 
     Candidates are grouped by connected component, so that a text travels once to its group; a component of more than
     ``BLOCK`` classes is cut into tiles of pairs.
     """
-    labels = stored(components(pairs, folder, "c1", "c2"), folder, "labels")
+    labels = stored(components(pairs.where("tree"), folder, "c1", "c2"), folder, "labels")
     size = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("b"))
     told = pairs.join(labels.toDF("c1", "label"), "c1").join(size, "label")
     key = F.xxhash64("label", F.pmod(F.xxhash64("c1"), F.col("b")), F.pmod(F.xxhash64("c2"), F.col("b"))).alias("g")
@@ -257,6 +276,7 @@ def verified_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, folder
                 for r in range(a, b):
                     sets[g[r], names[r]["a"], names[r]["b"]] = token[at[r - a] : at[r - a + 1]]
             out, seen = [], set()
+            number, parent = {}, {}
             for r, own in enumerate(names):
                 if (g[r], own["a"], own["b"]) in seen:
                     continue  # repeated row of the table
@@ -271,12 +291,13 @@ def verified_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, folder
                     common = int((both[1:] == both[:-1]).sum())
                     j = common / (len(x) + len(y) - common)
                     if j >= threshold:
-                        out.append((own, other, j))
+                        ends = [np.array([number.setdefault((e["a"], e["b"]), len(number))]) for e in (own, other)]
+                        out.append((own, other, j, bool(forest(*ends, parent)[0])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.array([o[1] for o in out], pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.array([o[2] for o in out])], names=["c1", "c2", "jaccard"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.array([o[1] for o in out], pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.array([o[2] for o in out]), pa.array([o[3] for o in out])], names=["c1", "c2", "jaccard", "tree"])
 
     ordered = rows.repartition(F.col("g")).sortWithinPartitions("g")
-    return stored(ordered.mapInArrow(verify, f"c1 {CLASS}, c2 {CLASS}, jaccard double"), folder, "verified")
+    return stored(ordered.mapInArrow(verify, f"c1 {CLASS}, c2 {CLASS}, jaccard double, tree boolean"), folder, "verified")
 
 
 def _join(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, str]:
@@ -318,7 +339,7 @@ def drop_near_duplicates(docs: DataFrame, *, n: int = N, threshold: float = THRE
     rows that agree in id and text any one stays.  All columns are kept.
     """
     classes, pairs, folder = _join(docs, n, threshold, recall)
-    label = components(pairs, folder + "/groups", "c1", "c2")
+    label = components(pairs.where("tree"), folder + "/groups", "c1", "c2")
     told = classes.select("c", "rep", "rows").join(label.toDF("c", "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     best = told.groupBy("label").agg(F.min("rep").alias("rep"), F.sum("rows").alias("rows"))
     # one row for each class that loses rows: it keeps its witness if that is its group's, and nothing otherwise
