@@ -59,8 +59,11 @@ def normalize(df: DataFrame, columns: Sequence[str], method: str, *, exact: bool
                 df = _exact_cdf(df, c)
             return df
         sketch = df.agg(*(F.kll_sketch_agg_double(F.col(c)).alias(f"__{c}") for c in columns))
-        out = df.crossJoin(F.broadcast(sketch))  # one row
-        return out.withColumns({c: F.kll_sketch_get_rank_double(F.col(f"__{c}"), F.col(c)) for c in columns}).select(*df.columns)
+        share = [i / 256 for i in range(257)]
+        marks = sketch.select(*(F.kll_sketch_get_quantile_double(f"__{c}", F.array(*map(F.lit, share))).alias(f"__{c}") for c in columns))
+        out = df.crossJoin(F.broadcast(marks))  # one row
+        rank = lambda c: F.size(F.filter(f"__{c}", lambda q: q <= F.col(c))) / 257
+        return out.withColumns({c: F.when(F.col(c).isNotNull(), rank(c)) for c in columns}).select(*df.columns)
     stats = df.agg(*(x.alias(f"__{c}_{k}") for c in columns for k, x in statistics(c, median=method == "MEDIAN_NORMALIZATION", exact=exact).items()))
     out = df.crossJoin(F.broadcast(stats))  # one row
     names = ["count", "sum", "sum_sq", "min", "max", "mean", "std", "max_abs", "digits", *(["median"] if method == "MEDIAN_NORMALIZATION" else [])]
