@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from ._common import flat, pieces, read
 
-WIDTH, FILTERS, CHUNK = 6, 24, 1024
+WIDTH, FILTERS, CHUNK = 6, 32, 1024
 SAMPLE = 4000  # labelled documents to fit on, at most
-SAMPLE_BYTES = 1 << 24  # and their texts' bytes, at most
-EPOCHS, RATE = 6, 0.02
+SAMPLE_BYTES = 12 << 20  # and their texts' bytes, at most
+EPOCHS, STEPS, RATE = 10, 250, 0.02
 
 
 class ByteConvNet:
@@ -84,35 +84,47 @@ class ByteConvNet:
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
 
-def _telling(raw: np.ndarray, at: np.ndarray, y: np.ndarray, n: int, count: int) -> list[int]:
-    """Byte n-grams (as numbers) chosen one by one: each marks most rejected documents that none before it marks."""
-    code = np.zeros(max(len(raw) - n + 1, 0), np.uint64)
+def _grams(text: np.ndarray, n: int) -> np.ndarray:
+    """The distinct byte n-grams of one text, as numbers."""
+    code = np.zeros(max(len(text) - n + 1, 0), np.uint64)
     for k in range(n):
-        code = code << np.uint64(8) | raw[k : k + len(code)].astype(np.uint64)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(code)]
-    inside = np.arange(len(code)) + n <= at[row + 1]
-    code, row = code[inside], row[inside]
-    bad = y == 0
-    grams, hits = np.unique(code[bad[row]], return_counts=True)
-    grams = grams[hits >= 3]
-    slot = np.searchsorted(grams, code)
-    slot[slot == len(grams)] = 0
-    known = grams[slot] == code if len(grams) else np.zeros(len(code), bool)
-    pair = np.unique(slot[known] * (len(at) - 1) + row[known])
-    slot, row = pair // (len(at) - 1), pair % (len(at) - 1)
-    good = np.bincount(slot[~bad[row]], minlength=len(grams))
-    slot, row = slot[bad[row]], row[bad[row]]
-    ratio = max(1.0, (~bad).sum() / max(bad.sum(), 1))
-    covered, out = np.zeros(len(at) - 1, bool), []
+        code = code << np.uint64(8) | text[k : k + len(code)]
+    return np.unique(code)
+
+
+def _telling(raw: np.ndarray, at: np.ndarray, y: np.ndarray, n: int, count: int, covered: np.ndarray, most: int = 50_000) -> list[int]:
+    """Byte n-grams (as numbers) chosen one by one: each marks most rejected documents that few before it mark.
+
+    ``covered``: by how many n-grams each rejected document is marked already; it is counted on.
+    """
+    bad = np.flatnonzero(y == 0)
+    own = [_grams(raw[at[r] : at[r + 1]], n) for r in bad]
+    grams, hits = np.unique(np.concatenate(own), return_counts=True)
+    top = np.argsort(-hits, kind="stable")[:most]
+    grams = np.sort(grams[top[hits[top] >= 3]])
+    if not len(grams):
+        return []
+
+    def known(codes: np.ndarray) -> np.ndarray:
+        slot = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
+        return slot[grams[slot] == codes]
+
+    good = np.zeros(len(grams))
+    for r in np.flatnonzero(y != 0):
+        good[known(_grams(raw[at[r] : at[r + 1]], n))] += 1
+    found = [known(codes) for codes in own]
+    slot, row = np.concatenate(found), np.repeat(np.arange(len(bad)), [len(f) for f in found])
+    ratio = max(1.0, (len(y) - len(bad)) / len(bad))
+    out: list[int] = []
+    cost = 4 * good / ratio
     for _ in range(count):
-        if not len(grams):
-            break
-        gain = np.bincount(slot[~covered[row]], minlength=len(grams)) - 4 * good / ratio
+        gain = np.bincount(slot, 0.5 ** covered[row], minlength=len(grams)) - cost
         best = int(gain.argmax())
-        if gain[best] < 2:
+        if gain[best] < 1.5:
             break
         out.append(int(grams[best]))
-        covered[row[slot == best]] = True
+        cost[best] = np.inf
+        covered[row[slot == best]] += 1
     return out
 
 
@@ -126,8 +138,9 @@ def fit(texts: pa.Array, y: np.ndarray, *, epochs: int = EPOCHS, rate: float = R
     net = ByteConvNet(w, b, v, c)
     if not len(y) or y.min() == y.max():
         return net
-    grams = [(3, g) for g in _telling(raw, at, y, 3, FILTERS // 2 - 2)]
-    grams += [(WIDTH, g) for g in _telling(raw, at, y, WIDTH, FILTERS - len(grams) - 2)]
+    covered = np.zeros(int((y == 0).sum()), np.int64)
+    grams = [(3, g) for g in _telling(raw, at, y, 3, FILTERS // 4, covered)]
+    grams += [(WIDTH, g) for g in _telling(raw, at, y, WIDTH, FILTERS - len(grams) - 2, covered)]
     for f, (n, gram) in enumerate(grams):
         for k in range(n):
             net.w[k, gram >> 8 * (n - 1 - k) & 255, f] += 1
@@ -136,6 +149,7 @@ def fit(texts: pa.Array, y: np.ndarray, *, epochs: int = EPOCHS, rate: float = R
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     step = 0
     size = np.diff(at)
+    epochs = max(epochs, -(-STEPS * 128 // len(y)))  # a small sample is seen more often
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for i in range(0, len(order), 128):
@@ -168,8 +182,10 @@ def fit(texts: pa.Array, y: np.ndarray, *, epochs: int = EPOCHS, rate: float = R
                     net.c -= float(move[0])
                 elif name == "w":
                     net.w -= np.where(g != 0, move, 0)
+                elif name == "v":  # filters are evidence against a document only: a short clean text lacks nothing
+                    net.v = np.minimum(net.v - move, 0)
                 else:
-                    setattr(net, name, getattr(net, name) - move)
+                    net.b -= move
     return net
 
 
