@@ -149,7 +149,7 @@ def _struct(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([a, b], names=["a", "b"])
 
 
-CLASS = "struct<a:bigint,b:bigint>"
+PRINT = "struct<a:bigint,b:bigint>"  # 128-bit fingerprint of a set
 
 
 def class_table(docs: DataFrame, folder: str, *, n: int, fan: int, runs: int) -> DataFrame:
@@ -171,13 +171,14 @@ def class_table(docs: DataFrame, folder: str, *, n: int, fan: int, runs: int) ->
                 node = np.concatenate([children(np.full(len(some), r), sk, fan) for r in roots], axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * node.shape[1], pa.int32()), pa.array(node.ravel()))
                 take = pa.array(some + a)
-                yield pa.RecordBatch.from_arrays([_struct(pa.array(fp[0]), pa.array(fp[1])), batch.column(0).take(take), batch.column(1).take(take), pa.array(size[some]), pa.array([x.tobytes() for x in sk], pa.binary()), lists], names=["c", "doc_id", "th", "n", "sk", "nodes"])
+                yield pa.RecordBatch.from_arrays([_struct(pa.array(fp[0]), pa.array(fp[1])), batch.column(0).take(take), batch.column(1).take(take), pa.array(size[some]), pa.array([x.tobytes() for x in sk], pa.binary()), lists], names=["fp", "doc_id", "th", "n", "sk", "nodes"])
 
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("th"), text.alias("text"))
-    made = rows.mapInArrow(sketch, f"c {CLASS}, doc_id bigint, th bigint, n bigint, sk binary, nodes array<bigint>")
-    made = made.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.sort_array(F.collect_list("doc_id")).alias("ids"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("nodes").alias("nodes"))
-    return stored(made, folder, "classes")
+    made = rows.mapInArrow(sketch, f"fp {PRINT}, doc_id bigint, th bigint, n bigint, sk binary, nodes array<bigint>")
+    made = made.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.sort_array(F.collect_list("doc_id")).alias("ids"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("nodes").alias("nodes"))
+    # short numbers, fixed once they are written, travel lighter than fingerprints
+    return stored(made.withColumn("c", F.monotonically_increasing_id()), folder, "classes")
 
 
 def _compare(near: float):
@@ -187,9 +188,7 @@ def _compare(near: float):
         for table in groups(batches, "g"):
             g = table.column("g").to_numpy()
             sk = np.frombuffer(b"".join(table.column("sk").to_pylist()), np.uint32).reshape(-1, BINS)
-            c = table.column("c").combine_chunks()
-            c = pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
-            ca, cb = (c.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            c = table.column("c").to_numpy()
             blk, same = table.column("blk").to_numpy(), table.column("same").to_numpy(zero_copy_only=False)
             edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             parent: dict[int, int] = {}
@@ -199,10 +198,8 @@ def _compare(near: float):
                 keep = _agree(sk[i], sk[j]) >= near
                 i, j = i[keep], j[keep]
                 tree = forest(i, j, parent)
-                swap = (ca[i] > ca[j]) | ((ca[i] == ca[j]) & (cb[i] > cb[j]))
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([_struct(pa.array(ca[i]), pa.array(cb[i])), _struct(pa.array(ca[j]), pa.array(cb[j])), pa.array(tree)], names=["c1", "c2", "tree"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j])), pa.array(tree)], names=["c1", "c2", "tree"])
 
     return run
 
@@ -240,13 +237,13 @@ def candidate_pairs(classes: DataFrame, folder: str, *, threshold: float, fan: i
             found.append(big)
         else:
             large = met.where(F.col("m") > SMALL).select("node", "c")
-            at = large.join(sketch, "c").select("node", "c", "sk").mapInArrow(split, f"node bigint, c {CLASS}").distinct()
+            at = large.join(sketch, "c").select("node", "c", "sk").mapInArrow(split, "node bigint, c bigint").distinct()
     rows = found[0]
     for more in found[1:]:
         rows = rows.union(more)
     rows = rows.join(sketch, "c").select("g", "c", "blk", "same", "sk")
     ordered = rows.repartition(F.col("g")).sortWithinPartitions("g")
-    pairs = ordered.mapInArrow(_compare(threshold - SLACK), f"c1 {CLASS}, c2 {CLASS}, tree boolean").where("c1 <> c2").groupBy("c1", "c2").agg(F.max("tree").alias("tree"))
+    pairs = ordered.mapInArrow(_compare(threshold - SLACK), "c1 bigint, c2 bigint, tree boolean").where("c1 <> c2").groupBy("c1", "c2").agg(F.max("tree").alias("tree"))
     return stored(pairs, folder, "candidates")
 
 
@@ -261,7 +258,7 @@ def verified_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, folder
     told = pairs.join(labels.toDF("c1", "label"), "c1").join(size, "label")
     key = F.xxhash64("label", F.pmod(F.xxhash64("c1"), F.col("b")), F.pmod(F.xxhash64("c2"), F.col("b"))).alias("g")
     told = told.select(key, "c1", "c2")
-    rows = told.select("g", F.col("c1").alias("c"), F.col("c2").alias("p")).union(told.select("g", F.col("c2").alias("c"), F.lit(None).cast(CLASS)))
+    rows = told.select("g", F.col("c1").alias("c"), F.col("c2").alias("p")).union(told.select("g", F.col("c2").alias("c"), F.lit(None).cast("bigint")))
     rows = rows.groupBy("g", "c").agg(F.collect_list("p").alias("p")).join(classes.select("c", F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("t")), "c")
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("th"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     rows = rows.join(text, (F.col("t") == F.col("th")) & F.col("i").eqNullSafe(F.col("doc_id"))).select("g", "c", "p", "text")
@@ -270,20 +267,20 @@ def verified_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, folder
         for table in groups(batches, "g"):
             g, names, partners = table.column("g").to_numpy(), table.column("c").to_pylist(), table.column("p").to_pylist()
             text = table.column("text").combine_chunks()
-            sets: dict[tuple, np.ndarray] = {}
+            text = pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) else text
+            sets: dict[tuple[int, int], np.ndarray] = {}
             for a, b in pieces(text):
-                token, at = shingles(*flat(text[a:b] if not isinstance(text, pa.ChunkedArray) else text.slice(a, b - a)), n)
+                token, at = shingles(*flat(text[a:b]), n)
                 for r in range(a, b):
-                    sets[g[r], names[r]["a"], names[r]["b"]] = token[at[r - a] : at[r - a + 1]]
-            out, seen = [], set()
-            number, parent = {}, {}
+                    sets[g[r], names[r]] = token[at[r - a] : at[r - a + 1]]
+            out, seen, parent = [], set(), {}
             for r, own in enumerate(names):
-                if (g[r], own["a"], own["b"]) in seen:
+                if (g[r], own) in seen:
                     continue  # repeated row of the table
-                seen.add((g[r], own["a"], own["b"]))
-                x = sets[g[r], own["a"], own["b"]]
+                seen.add((g[r], own))
+                x = sets[g[r], own]
                 for other in partners[r]:
-                    y = sets[g[r], other["a"], other["b"]]
+                    y = sets[g[r], other]
                     if min(len(x), len(y)) < threshold * max(len(x), len(y)):
                         continue
                     both = np.concatenate((x, y))
@@ -291,13 +288,12 @@ def verified_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, folder
                     common = int((both[1:] == both[:-1]).sum())
                     j = common / (len(x) + len(y) - common)
                     if j >= threshold:
-                        ends = [np.array([number.setdefault((e["a"], e["b"]), len(number))]) for e in (own, other)]
-                        out.append((own, other, j, bool(forest(*ends, parent)[0])))
+                        out.append((own, other, j, bool(forest(np.array([own]), np.array([other]), parent)[0])))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.array([o[1] for o in out], pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.array([o[2] for o in out]), pa.array([o[3] for o in out])], names=["c1", "c2", "jaccard", "tree"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out]), pa.array([o[2] for o in out]), pa.array([o[3] for o in out])], names=["c1", "c2", "jaccard", "tree"])
 
     ordered = rows.repartition(F.col("g")).sortWithinPartitions("g")
-    return stored(ordered.mapInArrow(verify, f"c1 {CLASS}, c2 {CLASS}, jaccard double, tree boolean"), folder, "verified")
+    return stored(ordered.mapInArrow(verify, "c1 bigint, c2 bigint, jaccard double, tree boolean"), folder, "verified")
 
 
 def _join(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, str]:
@@ -340,12 +336,12 @@ def drop_near_duplicates(docs: DataFrame, *, n: int = N, threshold: float = THRE
     """
     classes, pairs, folder = _join(docs, n, threshold, recall)
     label = components(pairs.where("tree"), folder + "/groups", "c1", "c2")
-    told = classes.select("c", "rep", "rows").join(label.toDF("c", "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    told = classes.select("c", "fp", "rep", "rows").join(label.toDF("c", "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     best = told.groupBy("label").agg(F.min("rep").alias("rep"), F.sum("rows").alias("rows"))
     # one row for each class that loses rows: it keeps its witness if that is its group's, and nothing otherwise
-    fate = stored(told.join(best.toDF("label", "best", "all"), "label").where("all > 1").select("c", F.when(F.col("rep") == F.col("best"), F.col("rep")).alias("keep")), folder, "fate")
+    fate = stored(told.join(best.toDF("label", "best", "all"), "label").where("all > 1").select("fp", F.when(F.col("rep") == F.col("best"), F.col("rep")).alias("keep")), folder, "fate")
     key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("th"))
-    marked = stored(_classes_of(docs, n).join(fate, "c").select("doc_id", "th", (F.struct("doc_id", "th") == F.col("keep")).alias("stays")), folder, "marked")
+    marked = stored(_classes_of(docs, n).join(fate, "fp").select("doc_id", "th", (F.struct("doc_id", "th") == F.col("keep")).alias("stays")), folder, "marked")
     marked = marked.groupBy("doc_id", "th").agg(F.coalesce(F.max("stays"), F.lit(False)).alias("stays"), F.count("*").alias("rows"))
     out = marked.where("not stays or rows > 1").select(F.struct("doc_id", "th").alias("k_"), "stays")
     held = docs.withColumn("__key", key)
@@ -365,10 +361,10 @@ def _classes_of(docs: DataFrame, n: int) -> DataFrame:
                 if len(some):
                     fp = [np.add.reduceat(mix64(token + U64(salt)), offset[some]).view(np.int64) for salt in (1 << 60, 1 << 61)]
                     take = pa.array(some + a)
-                    yield pa.RecordBatch.from_arrays([_struct(pa.array(fp[0]), pa.array(fp[1])), batch.column(0).take(take), batch.column(1).take(take)], names=["c", "doc_id", "th"])
+                    yield pa.RecordBatch.from_arrays([_struct(pa.array(fp[0]), pa.array(fp[1])), batch.column(0).take(take), batch.column(1).take(take)], names=["fp", "doc_id", "th"])
 
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("th"), text.alias("text")).mapInArrow(name, f"c {CLASS}, doc_id bigint, th bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("th"), text.alias("text")).mapInArrow(name, f"fp {PRINT}, doc_id bigint, th bigint")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
