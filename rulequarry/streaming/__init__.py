@@ -1 +1 @@
-"""TBD"""
+"""Structured Streaming forms of the running operators."""
