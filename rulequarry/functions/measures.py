@@ -72,8 +72,8 @@ def pavillon(t: Table) -> Column:
 
 
 def certainty(t: Table) -> Column:
-    one = (t.n11 / _null0(t.n1x) - t.nx1 / t.n) / _null0(1 - t.nx1 / t.n)
-    other = (t.n11 / _null0(t.nx1) - t.n1x / t.n) / _null0(1 - t.n1x / t.n)
+    one = (t.n11 / _null0(t.n1x) - t.nx1 / _null0(t.n)) / _null0(1 - t.nx1 / _null0(t.n))
+    other = (t.n11 / _null0(t.nx1) - t.n1x / _null0(t.n)) / _null0(1 - t.n1x / _null0(t.n))
     return F.when(one.isNotNull() & other.isNotNull(), F.greatest(one, other))
 
 
