@@ -3,9 +3,10 @@
 A document is the set of its word n-grams.  Documents with equal sets form a class, and only classes are joined.  A
 class is summed up by ``BINS`` sampled tokens (the least hash in each of ``BINS`` parts of the hash range).  In each
 of ``runs`` independent runs, a class goes to the nodes of ``fan`` sampled coordinates; a node holds the classes that
-share the sampled token.  Nodes of more than ``SMALL`` classes split again on coordinates of their own, to a depth of
-``DEPTH``; smaller ones (and those at the last depth, in blocks) compare all their sketches.  Pairs whose sketches
-come near the threshold are verified on the full sets.  ``runs`` follows from the recall that is asked for.
+share the sampled token.  Nodes of more than ``SMALL`` classes split again on ``WIDER`` times as many coordinates of their
+own, to a depth of ``DEPTH``; smaller ones (and those at the last depth, in blocks) compare all their sketches.  Pairs
+whose sketches come near the threshold are verified on the full sets.  ``plan`` sets ``runs`` and what near means for the
+recall that is asked for, even of a pair whose every node is split to the last depth.
 """
 
 from __future__ import annotations
@@ -22,7 +23,30 @@ from ._common import U64, components, flat, mix64, pieces, read, shared_dir, sto
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.999
 BINS, SMALL, DEPTH, BLOCK = 64, 256, 4, 2000
-SLACK = 0.17  # a sketch of 64 tokens is off by 0.06 (one sigma) at most
+WIDER = 2  # below the first level a path that is lost is lost for all its parts, so more of them are tried
+
+
+def found_at(p: float, fan: int, runs: int) -> float:
+    """Chance that a pair whose sketches agree in a share ``p`` of their bins is compared, if all its nodes are large."""
+    s = 1.0
+    for _ in range(DEPTH - 1):
+        s = 1 - (1 - p * s) ** (WIDER * fan)
+    return 1 - (1 - p * s) ** (fan * runs)
+
+
+def plan(threshold: float, recall: float) -> tuple[int, int, float]:
+    """(fan, runs, near) that find a pair right at the threshold with probability ``recall``.
+
+    The number of agreeing bins of long sets is binomial; that of short ones varies less, as their tokens run out.  A
+    quarter of the loss goes to sketches that agree in a share of less than ``near``, the rest to pairs that never meet.
+    """
+    fan = math.ceil(1 / threshold)
+    share = [math.comb(BINS, k) * threshold**k * (1 - threshold) ** (BINS - k) for k in range(BINS + 1)]
+    least = max(k for k in range(BINS + 1) if sum(share[:k]) <= (1 - recall) / 4)
+    runs = 1
+    while sum(share[k] * found_at(k / BINS, fan, runs) for k in range(least, BINS + 1)) < recall:
+        runs += 1
+    return fan, runs, least / BINS
 
 
 def shingles(raw: np.ndarray, at: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -64,24 +88,22 @@ def sketches(token: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def dense(sk: np.ndarray) -> np.ndarray:
-    """Empty bins filled with the next bin's token to the right, all the way around."""
-    out = sk.copy()
-    for _ in range(BINS.bit_length()):
-        if out.all():
-            break
-        for shift in (1, 2, 4, 8, 16, 32):
-            out = np.where(out == 0, np.roll(out, -shift, axis=1), out)
-    return out
-
-
 def children(node: np.ndarray, sk: np.ndarray, fan: int) -> np.ndarray:
-    """(rows, fan) child nodes: each node samples ``fan`` coordinates, and a row's tokens there name its children."""
-    full = dense(sk)
+    """(rows, fan) child nodes: each node samples ``fan`` coordinates, and a row's tokens there name its children.
+
+    A coordinate is the first filled bin of a random sequence of bins that the node sets.  Two rows so get the same child
+    with just the probability with which a bin that either fills agrees, and independently for each coordinate,
+    however few their tokens are.
+    """
     out = np.zeros((len(node), fan), np.int64)
+    filled = np.flatnonzero(sk.any(1))
     for f in range(fan):
         draw = mix64(node.astype(np.int64).view(U64) + U64(0x1234567 * (f + 1)))
-        token = full[np.arange(len(node)), (draw & U64(BINS - 1)).astype(np.int64)]
+        token = np.zeros(len(node), np.uint32)
+        left, k = filled, 0
+        while len(left):
+            token[left] = sk[left, (mix64(draw[left] + U64(k)) & U64(BINS - 1)).astype(np.int64)]
+            left, k = left[token[left] == 0], k + 1
         out[:, f] = mix64(draw ^ mix64(token.astype(U64))).view(np.int64)
     return out
 
@@ -204,7 +226,7 @@ def _compare(near: float):
     return run
 
 
-def candidate_pairs(classes: DataFrame, folder: str, *, threshold: float, fan: int) -> DataFrame:
+def candidate_pairs(classes: DataFrame, folder: str, *, near: float, fan: int) -> DataFrame:
     """Distinct pairs of classes that met in a node and whose sketches are close: (c1, c2, tree), c1 < c2.
 
     The pairs with ``tree`` alone connect what all pairs connect: components need only these few.
@@ -215,8 +237,8 @@ def candidate_pairs(classes: DataFrame, folder: str, *, threshold: float, fan: i
             if not batch.num_rows:
                 continue
             sk = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, BINS)
-            child = children(batch.column(0).to_numpy(), sk, fan)
-            take = pa.array(np.repeat(np.arange(batch.num_rows), fan))
+            child = children(batch.column(0).to_numpy(), sk, WIDER * fan)
+            take = pa.array(np.repeat(np.arange(batch.num_rows), WIDER * fan))
             yield pa.RecordBatch.from_arrays([pa.array(child.ravel()), batch.column(1).take(take)], names=["node", "c"])
 
     sketch = classes.select("c", "sk")
@@ -243,7 +265,7 @@ def candidate_pairs(classes: DataFrame, folder: str, *, threshold: float, fan: i
         rows = rows.union(more)
     rows = rows.join(sketch, "c").select("g", "c", "blk", "same", "sk")
     ordered = rows.repartition(F.col("g")).sortWithinPartitions("g")
-    pairs = ordered.mapInArrow(_compare(threshold - SLACK), "c1 bigint, c2 bigint, tree boolean").where("c1 <> c2").groupBy("c1", "c2").agg(F.max("tree").alias("tree"))
+    pairs = ordered.mapInArrow(_compare(near), "c1 bigint, c2 bigint, tree boolean").where("c1 <> c2").groupBy("c1", "c2").agg(F.max("tree").alias("tree"))
     return stored(pairs, folder, "candidates")
 
 
@@ -297,12 +319,10 @@ def verified_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame, folder
 
 
 def _join(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, str]:
-    fan = math.ceil(1 / threshold)
-    miss = (1 - threshold) ** fan
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
+    fan, runs, near = plan(threshold, recall)
     folder = shared_dir(docs.sparkSession)
     classes = class_table(docs, folder, n=n, fan=fan, runs=runs)
-    pairs = candidate_pairs(classes, folder, threshold=threshold, fan=fan)
+    pairs = candidate_pairs(classes, folder, near=near, fan=fan)
     return classes, verified_pairs(docs, classes, pairs, folder, n=n, threshold=threshold), folder
 
 

@@ -149,6 +149,25 @@ def test_jaccard_join_splits_large_nodes(spark, monkeypatch):
     assert found <= truth and len(found) >= 0.9 * len(truth)
 
 
+def test_jaccard_join_keeps_its_recall_in_large_nodes():
+    """Pairs right at the threshold all of whose nodes are split to the last depth: long ones and ones of three tokens."""
+    rng, rows = np.random.default_rng(7), 3000
+    fan, runs, near = jaccard.plan(jaccard.THRESHOLD, jaccard.RECALL)
+    for both, own in ((400, 200), (2, 1)):
+        shared = rng.integers(1, 1 << 52, (rows, both), dtype=np.uint64)
+        a, b = (jaccard.sketches(np.hstack([shared, rng.integers(1, 1 << 52, (rows, own), dtype=np.uint64)]).ravel(), np.arange(rows + 1) * (both + own)) for _ in "ab")
+        found = np.zeros(rows, bool)
+        for run in range(runs):
+            pair, node = np.arange(rows), np.full(rows, run + 1)
+            for depth in range(jaccard.DEPTH):
+                width = fan * jaccard.WIDER if depth else fan
+                left, right = jaccard.children(node, a[pair], width), jaccard.children(node, b[pair], width)
+                at, f = np.nonzero(left == right)
+                pair, node = pair[at], left[at, f]
+            found[pair] = True
+        assert (found & (jaccard._agree(a, b) >= near)).mean() >= 0.9975, (both, own)
+
+
 def test_jaccard_join_of_nothing(nothing):
     assert jaccard.jaccard_join(nothing).count() == 0
     assert jaccard.drop_near_duplicates(nothing).count() == 0
