@@ -1,7 +1,8 @@
 """Rule samplers: reproducible hash draws as plain DataFrames, and Markov chains that run side by side.
 
-A chain walks over rules whose frequencies Spark has counted beforehand, so a worker needs the mined rules only, never
-the transactions; a rule that was not mined is too rare and scores 0.
+A chain walks over transactions or over mined rules.  Of transactions a worker gets one bit per transaction and item, and
+counts each rule when the chain comes to it: antecedents may have any size and frequency.  Of mined rules it gets the
+frequencies; a rule that is not among them scores 0.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from random import Random
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.probability import hash_coin, hash_key
 from . import transactions as tx_
 
 MOST_RULES = 2_000_000  # mined rules that are sent to every worker
+MOST_COVER = 256 << 20  # bytes of covers that are sent to every worker
 
 
 def kfold(df: DataFrame, key: Sequence[str], k: int, seed: str = "42") -> DataFrame:
@@ -70,6 +74,45 @@ def grid(low: Sequence[float], high: Sequence[float], n: int, spark) -> DataFram
 Frequencies = dict[tuple[frozenset, str], tuple[int, int, int]]
 
 
+class Covers:
+    """Frequencies of any rule, counted when asked for: bit t of an item's row says that transaction t has it."""
+
+    def __init__(self, names: list[str], bits: np.ndarray, rows: int, classes: set[str]):
+        self.at, self.bits, self.rows, self.classes = {name: i for i, name in enumerate(names)}, bits, rows, classes
+        self.counted: dict[tuple[frozenset, str], tuple[int, int, int]] = {}
+
+    def __len__(self) -> int:
+        return self.rows
+
+    def count(self, x: frozenset, y: str) -> tuple[int, int, int]:
+        """(fx, fy, fz); the empty antecedent is in every transaction."""
+        if (x, y) not in self.counted:
+            own = self.bits[self.at[y]]
+            all_ = np.bitwise_and.reduce(self.bits[[self.at[i] for i in x]], axis=0) if x else None
+            fy = int(np.bitwise_count(own).sum())
+            self.counted[x, y] = (self.rows, fy, fy) if all_ is None else (int(np.bitwise_count(all_).sum()), fy, int(np.bitwise_count(all_ & own).sum()))
+        return self.counted[x, y]
+
+    def get(self, rule: tuple[frozenset, str]) -> tuple[int, int, int] | None:
+        """The frequencies of a valid rule: none of them is 0 or the number of transactions."""
+        f = self.count(*rule) if rule[0] else (0, 0, 0)
+        return f if min(f) > 0 and max(f) < self.rows else None
+
+    def draw(self, random: Random, k: int) -> list[tuple[frozenset, str]]:
+        """Up to k distinct valid rules read off random transactions, in at most 200 k tries."""
+        out: dict[tuple[frozenset, str], None] = {}
+        for _ in range(200 * k):
+            t = random.randrange(self.rows)
+            own = [name for name, i in self.at.items() if int(self.bits[i, t >> 6]) >> (t & 63) & 1]
+            x = frozenset(i for i in own if i not in self.classes and random.random() < 0.5)
+            y = [i for i in own if i in self.classes]
+            if x and y and self.get(rule := (x, random.choice(y))):
+                out[rule] = None
+            if len(out) == k:
+                break
+        return list(out)
+
+
 def measure_vector(fx: int, fy: int, fz: int, n: int, names: Sequence[str], smooth: float) -> list[float]:
     """The measures of one rule in plain Python, for chains; 0 where a denominator vanishes."""
     s, n_ = smooth, n + 4 * smooth
@@ -102,7 +145,7 @@ THETA: dict[str, Callable[[float, float], float]] = {
 class Chain:
     """One walk over rules."""
 
-    frequencies: Frequencies
+    frequencies: Frequencies | Covers
     antecedents: list[str]
     classes: list[str]
     n: int
@@ -122,9 +165,23 @@ class Chain:
         v = measure_vector(*f, self.n, self.names, self.smooth)
         return self.scorer(v) if self.scorer else sum(v) / len(v)
 
-    def start(self) -> None:
-        x, y = self.random.choice(sorted(self.frequencies, key=lambda r: (sorted(r[0]), r[1])))
-        self.x, self.y = x, y
+    def seeds(self, k: int) -> list[tuple[frozenset, str]]:
+        if isinstance(self.frequencies, Covers):
+            return self.frequencies.draw(self.random, k)
+        table = sorted(self.frequencies, key=lambda r: (sorted(r[0]), r[1]))
+        return self.random.sample(table, min(k, len(table)))
+
+    def start(self) -> bool:
+        for self.x, self.y in self.seeds(1):
+            return True
+        return False
+
+    def g(self, x: frozenset) -> float:
+        """The unrestricted sampler's value: fy / n of an antecedent that occurs."""
+        if isinstance(self.frequencies, Covers):
+            fx, fy, _ = self.frequencies.count(x, self.y)
+            return fy / self.n if fx else 0.0
+        return self.frequencies.get((x, self.y), (0, 0, 0))[1] / self.n
 
     def _accept(self, new: float, old: float) -> bool:
         return new != 0 and self.random.random() <= THETA[self.certainty](new, old)
@@ -153,6 +210,23 @@ class Chain:
             self.best[self.x, self.y] = s
 
 
+def _load_covers(tx: DataFrame) -> tuple[list[str], np.ndarray, int]:
+    size = tx.agg(F.count_distinct("tid"), F.count_distinct("item")).first()
+    if size[0] * size[1] / 8 > MOST_COVER:
+        raise ValueError(f"covers of {size[1]} items in {size[0]} transactions are too large to walk over")
+    lists = tx_.baskets(tx).orderBy("tid").select("items").toArrow().column("items")  # bounded by MOST_COVER
+    rows = len(lists)
+    if not rows:
+        return [], np.zeros((0, 0), np.uint64), 0
+    lists = pa.concat_arrays(lists.chunks)
+    item = lists.flatten().dictionary_encode()
+    names = item.dictionary.to_pylist()
+    t = np.repeat(np.arange(rows), lists.value_lengths().to_numpy())
+    bits = np.zeros((len(names), -(-rows // 64)), np.uint64)
+    np.bitwise_or.at(bits, (item.indices.to_numpy(), t >> 6), np.uint64(1) << (t & 63).astype(np.uint64))
+    return names, bits, rows
+
+
 def _load(rules: DataFrame, n: int) -> tuple[Frequencies, list[str], list[str]]:
     size = rules.count()
     if size > MOST_RULES:
@@ -162,19 +236,30 @@ def _load(rules: DataFrame, n: int) -> tuple[Frequencies, list[str], list[str]]:
     return freq, sorted({i for x, _ in freq for i in x}), sorted({y for _, y in freq})
 
 
-def _chains(rules: DataFrame, n: int, chains: int, seed: str, walk: Callable[[Chain], list[tuple]], schema: str, **options) -> DataFrame:
+def _chains(rules: DataFrame, n: int, chains: int, seed: str, walk: Callable[[Chain], list[tuple]], schema: str, class_item: Column | None = None, **options) -> DataFrame:
     spark = rules.sparkSession
-    shared = spark.sparkContext.broadcast(_load(rules, n))
+    walks_covers = "tid" in rules.columns
+    if walks_covers:
+        names, bits, rows_ = _load_covers(rules)
+        classes_ = sorted(r.item for r in rules.where(tx_.is_class() if class_item is None else class_item).select("item").distinct().collect())
+        shared = spark.sparkContext.broadcast((names, bits, rows_, classes_))
+    else:
+        shared = spark.sparkContext.broadcast(_load(rules, n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        freq, items, classes = shared.value
+        if walks_covers:
+            freq, classes = Covers(*shared.value[:3], set(shared.value[3])), shared.value[3]
+            items = sorted(set(shared.value[0]) - set(classes))
+        else:
+            freq, items, classes = shared.value
         for batch in batches:
             for chain_id in batch["id"]:
                 own = Random(int(hashlib.md5(f"{seed}|{chain_id}".encode()).hexdigest(), 16))
                 if not freq:
                     continue
                 chain = Chain(freq, items, classes, n, options["names"], options["certainty"], options["smooth"], own)
-                chain.start()
+                if not chain.start():
+                    continue
                 rows = walk(chain)
                 yield pd.DataFrame([(int(chain_id), *r) for r in rows], columns=[c.split()[0] for c in ("chain " + "bigint, " + schema).split(", ")])
 
@@ -184,7 +269,7 @@ def _chains(rules: DataFrame, n: int, chains: int, seed: str, walk: Callable[[Ch
 MEASURES = ("lift", "confidence", "support", "yuleQ", "kruskal")
 
 
-def smas(rules: DataFrame, n: int, *, chains: int = 8, iterations: int = 100, k: int = 10, certainty: str = "BradleyTerry", names: Sequence[str] = MEASURES, smooth: float = 0.01, seed: str = "1", halve: bool = False) -> DataFrame:
+def smas(rules: DataFrame, n: int, *, chains: int = 8, iterations: int = 100, k: int = 10, certainty: str = "BradleyTerry", names: Sequence[str] = MEASURES, smooth: float = 0.01, seed: str = "1", halve: bool = False, class_item: Column | None = None) -> DataFrame:
     """The k best distinct rules that the chains visited: (x, y, score).  ``halve`` tries to drop half of X first (batch sampler)."""
 
     def walk(chain: Chain) -> list[tuple]:
@@ -193,36 +278,35 @@ def smas(rules: DataFrame, n: int, *, chains: int = 8, iterations: int = 100, k:
         top = sorted(chain.best.items(), key=lambda e: (-e[1], sorted(e[0][0]), e[0][1]))[:k]
         return [(";".join(sorted(x)), y, s) for (x, y), s in top]
 
-    found = _chains(rules, n, chains, seed, walk, "x string, y string, score double", names=names, certainty=certainty, smooth=smooth)
+    found = _chains(rules, n, chains, seed, walk, "x string, y string, score double", names=names, certainty=certainty, smooth=smooth, class_item=class_item)
     return found.groupBy("x", "y").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "x", "y").limit(k)
 
 
-def gibbs(rules: DataFrame, n: int, *, chains: int = 8, iterations: int = 50, steep: float = 1000.0, seed: str = "1") -> DataFrame:
+def gibbs(rules: DataFrame, n: int, *, chains: int = 8, iterations: int = 50, steep: float = 1000.0, seed: str = "1", class_item: Column | None = None) -> DataFrame:
     """Unrestricted sampler: every item is redrawn with odds exp(steep * (g with - g without)); valid states are kept."""
 
     def walk(chain: Chain) -> list[tuple]:
         out: OrderedDict[tuple, None] = OrderedDict()
         for _ in range(iterations):
             for item in chain.antecedents:
-                g = [chain.frequencies.get((s, chain.y), (0, 0, 0))[1] / chain.n for s in (chain.x | {item}, chain.x - {item})]
+                g = [chain.g(s) for s in (chain.x | {item}, chain.x - {item})]
                 p = 1 / (1 + math.exp(max(-700.0, min(700.0, steep * (g[1] - g[0])))))
                 chain.x = chain.x | {item} if chain.random.random() <= p else chain.x - {item}
             chain.y = chain.random.choice(chain.classes)
-            if (chain.x, chain.y) in chain.frequencies:
+            if chain.frequencies.get((chain.x, chain.y)):
                 out[";".join(sorted(chain.x)), chain.y] = None
         return list(out)
 
-    return _chains(rules, n, chains, seed, walk, "x string, y string", names=MEASURES, certainty="BradleyTerry", smooth=0.01).select("x", "y").distinct()
+    return _chains(rules, n, chains, seed, walk, "x string, y string", names=MEASURES, certainty="BradleyTerry", smooth=0.01, class_item=class_item).select("x", "y").distinct()
 
 
-def mmas(rules: DataFrame, n: int, *, chains: int = 4, iterations: int = 30, k: int = 10, certainty: str = "ScoreDifference", names: Sequence[str] = MEASURES, smooth: float = 0.01, seed: str = "1", memory: int = 10) -> DataFrame:
+def mmas(rules: DataFrame, n: int, *, chains: int = 4, iterations: int = 30, k: int = 10, certainty: str = "ScoreDifference", names: Sequence[str] = MEASURES, smooth: float = 0.01, seed: str = "1", memory: int = 10, class_item: Column | None = None) -> DataFrame:
     """The k most uncertain rule pairs: each step walks towards a rule that is hard to tell from one of the last ``memory``."""
 
     def walk(chain: Chain) -> list[tuple]:
         plain = lambda x, y: Chain.score(chain, x, y)
         history: OrderedDict[tuple, float] = OrderedDict()
-        table = sorted(chain.frequencies, key=lambda r: (sorted(r[0]), r[1]))
-        for rule in chain.random.sample(table, min(memory, len(table))):
+        for rule in chain.seeds(memory):
             history[rule] = plain(*rule)
         theta = THETA[certainty]
         pairs: dict[tuple, float] = {}
@@ -245,5 +329,5 @@ def mmas(rules: DataFrame, n: int, *, chains: int = 4, iterations: int = 30, k:
                 history.popitem(last=False)
         return [(a, b, u) for (a, b), u in sorted(pairs.items(), key=lambda e: (-e[1], e[0]))[:k]]
 
-    found = _chains(rules, n, chains, seed, walk, "a string, b string, uncertainty double", names=names, certainty=certainty, smooth=smooth)
+    found = _chains(rules, n, chains, seed, walk, "a string, b string, uncertainty double", names=names, certainty=certainty, smooth=smooth, class_item=class_item)
     return found.groupBy("a", "b").agg(F.max("uncertainty").alias("uncertainty")).orderBy(F.col("uncertainty").desc(), "a", "b").limit(k)

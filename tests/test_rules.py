@@ -186,6 +186,26 @@ def test_chains_visit_valid_rules(spark, flowers):
     assert all(0 <= r.uncertainty <= 1 for r in sampling.mmas(found, 150, chains=2, iterations=5).collect())
 
 
+def test_chains_walk_over_rules_of_any_size_and_frequency(spark):
+    own = [["a", "b", "c", "d", "status=1"]] + [["a", "b", "status=2"], ["c", "d", "status=2"], ["a", "c", "status=1"], ["b", "e", "status=2"]] * 5
+    tx = spark.createDataFrame([(t, i) for t, row in enumerate(own) for i in row], "tid bigint, item string")
+    brute = {}
+    for row in own:
+        for k in range(1, len(row)):
+            for x in itertools.combinations(row[:-1], k):
+                hold = [r for r in own if set(x) <= set(r)]
+                brute[";".join(x), row[-1]] = (len(hold), sum(row[-1] in r for r in own), sum(row[-1] in r for r in hold))
+    top = sampling.smas(tx, len(own), chains=4, iterations=60, k=100).collect()
+    for r in top:
+        v = sampling.measure_vector(*brute[r.x, r.y], len(own), sampling.MEASURES, 0.01)
+        assert r.score == pytest.approx(sum(v) / len(v))
+    sampled = {(r.x, r.y) for r in sampling.gibbs(tx, len(own), chains=4, iterations=60).collect()}
+    assert sampled <= brute.keys() and ("a;b;c;d", "status=1") in sampled
+    assert ("a;b;c;d", "status=1") in {(r.x, r.y) for r in top}
+    rules = {f"{x}=>{y}" for x, y in brute}
+    assert all(r.a in rules and r.b in rules for r in sampling.mmas(tx, len(own), chains=2, iterations=5).collect())
+
+
 def test_transaction_files(spark, tmp_path):
     (tmp_path / "t.dat").write_text("milk, bread  eggs\n\n  butter\tmilk ,bread\n")
     df = files.read_dat(spark, str(tmp_path / "t.dat"))
