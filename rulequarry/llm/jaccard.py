@@ -3,10 +3,11 @@
 A document is the set of its word n-grams.  Documents with equal sets form a class, and only classes are joined.  A
 class is summed up by ``BINS`` sampled tokens (the least hash in each of ``BINS`` parts of the hash range).  In each
 of ``runs`` independent runs, a class goes to the nodes of ``fan`` sampled coordinates; a node holds the classes that
-share the sampled token.  Nodes of more than ``SMALL`` classes split again on ``WIDER`` times as many coordinates of their
-own, to a depth of ``DEPTH``; smaller ones (and those at the last depth, in blocks) compare all their sketches.  Pairs
-whose sketches come near the threshold are verified on the full sets.  ``plan`` sets ``runs`` and what near means for the
-recall that is asked for, even of a pair whose every node is split to the last depth.
+share the sampled token.  Nodes of at most ``SMALL`` classes compare all their sketches.  Larger ones split again, on
+``WIDER`` times as many coordinates of their own, until they are small; only a node whose classes are so alike that
+splitting doesn't pay (``candidate_pairs``) is compared at once, in blocks, at a cost in proportion to the pairs in it.
+Pairs whose sketches come near the threshold are verified on the full sets.  ``plan`` sets ``runs`` and what near means
+for the recall that is asked for, even of a pair whose nodes are split ``DEPTH`` times.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from pyspark.sql import functions as F
 from ._common import U64, components, flat, mix64, pieces, read, shared_dir, stored, text_key, words
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.999
-BINS, SMALL, DEPTH, BLOCK = 64, 256, 4, 2000
+BINS, SMALL, DEPTH, BLOCK = 64, 256, 12, 2000
 WIDER = 2  # below the first level a path that is lost is lost for all its parts, so more of them are tried
 
 
 def found_at(p: float, fan: int, runs: int) -> float:
-    """Chance that a pair whose sketches agree in a share ``p`` of their bins is compared, if all its nodes are large."""
+    """Chance that a pair whose sketches agree in a share ``p`` of their bins is compared, if all its nodes are large.
+
+    Below the first level a pair has more than one common child on average, so the chance hardly falls with the depth.
+    """
     s = 1.0
     for _ in range(DEPTH - 1):
         s = 1 - (1 - p * s) ** (WIDER * fan)
@@ -175,7 +179,7 @@ PRINT = "struct<a:bigint,b:bigint>"  # 128-bit fingerprint of a set
 
 
 def class_table(docs: DataFrame, folder: str, *, n: int, fan: int, runs: int) -> DataFrame:
-    """One row per distinct n-gram set: class, the least (doc_id, text key) as its witness, ids, size, sketch, first nodes."""
+    """One row per distinct n-gram set: class, the least (doc_id, text key) as its witness, rows, size, sketch, first nodes."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix64(np.arange(1, runs + 1, dtype=U64) * U64(0xABCDEF)).view(np.int64)
@@ -198,7 +202,7 @@ def class_table(docs: DataFrame, folder: str, *, n: int, fan: int, runs: int) ->
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("th"), text.alias("text"))
     made = rows.mapInArrow(sketch, f"fp {PRINT}, doc_id bigint, th bigint, n bigint, sk binary, nodes array<bigint>")
-    made = made.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.sort_array(F.collect_list("doc_id")).alias("ids"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("nodes").alias("nodes"))
+    made = made.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.collect_list(F.struct("doc_id", "th")).alias("members"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("nodes").alias("nodes"))
     # short numbers, fixed once they are written, travel lighter than fingerprints
     return stored(made.withColumn("c", F.monotonically_increasing_id()), folder, "classes")
 
@@ -232,34 +236,43 @@ def candidate_pairs(classes: DataFrame, folder: str, *, near: float, fan: int) -
     The pairs with ``tree`` alone connect what all pairs connect: components need only these few.
     """
 
+    width = WIDER * fan
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sk = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, BINS)
-            child = children(batch.column(0).to_numpy(), sk, WIDER * fan)
-            take = pa.array(np.repeat(np.arange(batch.num_rows), WIDER * fan))
-            yield pa.RecordBatch.from_arrays([pa.array(child.ravel()), batch.column(1).take(take)], names=["node", "c"])
+            child = children(batch.column(0).to_numpy(), sk, width)
+            take = pa.array(np.repeat(np.arange(batch.num_rows), width))
+            f = pa.array(np.tile(np.arange(width, dtype=np.int8), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), f, pa.array(child.ravel()), batch.column(1).take(take)], names=["parent", "f", "node", "c"])
 
     sketch = classes.select("c", "sk")
     at = classes.select(F.explode(F.array_distinct("nodes")).alias("node"), "c")
     found: list[DataFrame] = []
-    for depth in range(1, DEPTH + 1):
+    depth = 1
+    while True:
         at = stored(at, folder, f"nodes-{depth}")
         sizes = at.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
         met = at.join(sizes, "node")
-        small = met.where(F.col("m") <= SMALL) if depth < DEPTH else met
         # the same members often meet in several nodes: each such list is compared once
-        lists = small.where(F.col("m") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list("c")).alias("l")).select("l").distinct()
+        lists = met.where(F.col("m") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_list("c")).alias("l")).select("l").distinct()
         found.append(lists.select(F.xxhash64("l").alias("g"), F.explode("l").alias("c"), F.lit(0).alias("blk"), F.lit(True).alias("same")))
-        if depth == DEPTH:
-            big = met.where(F.col("m") > SMALL).withColumn("b", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("c"), F.col("b")).cast("int"))
-            tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("i"), F.greatest(o, F.col("blk")).alias("j"))))
-            big = big.withColumn("t", tile).select(F.xxhash64("node", "t.i", "t.j").alias("g"), "c", "blk", (F.col("t.i") == F.col("t.j")).alias("same"))
-            found.append(big)
-        else:
-            large = met.where(F.col("m") > SMALL).select("node", "c")
-            at = large.join(sketch, "c").select("node", "c", "sk").mapInArrow(split, "node bigint, c bigint").distinct()
+        large = stored(met.where(F.col("m") > SMALL), folder, f"large-{depth}")
+        if large.isEmpty():
+            break
+        kids = stored(large.join(sketch, "c").select("node", "c", "sk").mapInArrow(split, "parent bigint, f tinyint, node bigint, c bigint"), folder, f"kids-{depth}")
+        # two classes of a node get one child at a coordinate as often as their sketches agree.  With 1/width or more of
+        # such pairs at half the coordinates, the children hold as many pairs as the node: it is compared as it is.
+        alike = kids.groupBy("parent", "f", "node").agg(F.count("*").alias("n")).groupBy("parent", "f").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n") / F.sum("n")).alias("v"))
+        dense = alike.groupBy("parent").agg(F.sum((F.col("v") >= 1 / width).cast("int")).alias("alike")).where((2 * F.col("alike") >= width) | F.lit(depth >= DEPTH))
+        dense = stored(dense.select(F.col("parent").alias("node")), folder, f"dense-{depth}")
+        big = large.join(dense, "node").withColumn("b", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("c"), F.col("b")).cast("int"))
+        tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("i"), F.greatest(o, F.col("blk")).alias("j"))))
+        found.append(big.withColumn("t", tile).select(F.xxhash64("node", "t.i", "t.j").alias("g"), "c", "blk", (F.col("t.i") == F.col("t.j")).alias("same")))
+        at = kids.join(dense.toDF("parent"), "parent", "left_anti").select("node", "c").distinct()
+        depth += 1
     rows = found[0]
     for more in found[1:]:
         rows = rows.union(more)
@@ -326,65 +339,52 @@ def _join(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[Dat
     return classes, verified_pairs(docs, classes, pairs, folder, n=n, threshold=threshold), folder
 
 
-def jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, factored: bool = False) -> DataFrame:
     """All pairs of documents whose word n-gram sets have a Jaccard similarity of at least ``threshold``.
 
-    The pairs come factored, without loss: (doc_a, doc_b, jaccard, docs_a, docs_b) says that every document of docs_a
-    pairs with every one of docs_b.  The documents of one list have equal sets; a row with docs_a = docs_b lists such a
-    class of two or more (jaccard 1).  doc_a and doc_b are the least ids (the two least of one class).
+    One row a pair: (doc_a, doc_b, jaccard), doc_a < doc_b.  With ``factored`` the same pairs come as (docs_a, docs_b,
+    jaccard): every document of docs_a pairs with every other one of docs_b; the documents of one list have equal sets,
+    and a row with docs_a = docs_b lists such a class (jaccard 1).  Plain pairs are spelled out from that form where it
+    arises, without an exchange; use ``factored`` where millions of documents are equal, as their pairs grow with the square.
 
-    Null, empty and blank texts match nothing.  Texts shorter than n words are one token.  Repeated rows and ids are
-    listed as often as they occur; documents without an id take part but can't be listed.  Empty table: empty result.
-    Words are separated by white space up to U+0020 and compared in lower case.  Columns other than ``doc_id`` and
-    ``text`` are not read.
+    Null, empty and blank texts match nothing.  Texts shorter than n words are one token; very long ones take part with
+    all their n-grams.  Rows that repeat id and set count once, an id with several texts pairs by each of them, never
+    with itself; documents without an id take part but can't be listed.  Ties: all pairs at exactly the threshold
+    belong to the result.  Empty table: empty result.  Words are separated by white space up to U+0020 and compared in
+    lower case.  Columns other than ``doc_id`` and ``text`` are not read, whatever their names.
     """
     classes, pairs, _ = _join(docs, n, threshold, recall)
-    ids = classes.where("size(ids) > 0").select("c", "ids")
-    out = pairs.join(ids.toDF("c1", "docs_1"), "c1").join(ids.toDF("c2", "docs_2"), "c2")
-    turn = F.col("docs_1")[0] <= F.col("docs_2")[0]
-    out = out.select(F.when(turn, F.col("docs_1")).otherwise(F.col("docs_2")).alias("docs_a"), F.when(turn, F.col("docs_2")).otherwise(F.col("docs_1")).alias("docs_b"), F.round("jaccard", 6).alias("jaccard"))
-    out = out.select(F.col("docs_a")[0].alias("doc_a"), F.col("docs_b")[0].alias("doc_b"), "jaccard", "docs_a", "docs_b")
-    equal = ids.where("size(ids) > 1").select(F.col("ids")[0].alias("doc_a"), F.col("ids")[1].alias("doc_b"), F.lit(1.0).alias("jaccard"), F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"))
-    return out.union(equal)
+    known = F.filter("members", lambda m: m["doc_id"].isNotNull())
+    ids = classes.select("c", F.array_sort(F.array_distinct(F.transform(known, lambda m: m["doc_id"]))).alias("ids")).where("size(ids) > 0")
+    out = pairs.join(ids.toDF("c1", "docs_a"), "c1").join(ids.toDF("c2", "docs_b"), "c2").select("docs_a", "docs_b", F.round("jaccard", 6).alias("jaccard"))
+    equal = ids.where("size(ids) > 1").select(F.col("ids").alias("docs_a"), F.col("ids").alias("docs_b"), F.lit(1.0).alias("jaccard"))
+    if factored:
+        return out.union(equal)
+    one = out.select(F.explode("docs_a").alias("a"), "docs_b", "jaccard").select("a", F.explode("docs_b").alias("b"), "jaccard").where("a <> b")
+    same = equal.select(F.posexplode("docs_a").alias("i", "a"), "docs_b", "jaccard").select("a", F.explode(F.slice("docs_b", F.col("i") + 2, F.size("docs_b"))).alias("b"), "jaccard")
+    return one.union(same).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
 
 
 def drop_near_duplicates(docs: DataFrame, *, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the least (doc_id, text fingerprint), null ids first.
 
-    Groups are the connected components of the join's pairs.  Texts without words belong to no group and all stay.  Of
-    rows that agree in id and text any one stays.  All columns are kept.
+    Groups are the connected components of the join's pairs.  Null, empty and blank texts belong to no group and all stay;
+    very long ones take part whole.  Of rows that agree in id and text (ties) any one stays.  Empty table: empty result.
+    All columns are kept, whatever their names.
     """
     classes, pairs, folder = _join(docs, n, threshold, recall)
     label = components(pairs.where("tree"), folder + "/groups", "c1", "c2")
-    told = classes.select("c", "fp", "rep", "rows").join(label.toDF("c", "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    best = told.groupBy("label").agg(F.min("rep").alias("rep"), F.sum("rows").alias("rows"))
-    # one row for each class that loses rows: it keeps its witness if that is its group's, and nothing otherwise
-    fate = stored(told.join(best.toDF("label", "best", "all"), "label").where("all > 1").select("fp", F.when(F.col("rep") == F.col("best"), F.col("rep")).alias("keep")), folder, "fate")
-    key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("th"))
-    marked = stored(_classes_of(docs, n).join(fate, "fp").select("doc_id", "th", (F.struct("doc_id", "th") == F.col("keep")).alias("stays")), folder, "marked")
-    marked = marked.groupBy("doc_id", "th").agg(F.coalesce(F.max("stays"), F.lit(False)).alias("stays"), F.count("*").alias("rows"))
-    out = marked.where("not stays or rows > 1").select(F.struct("doc_id", "th").alias("k_"), "stays")
-    held = docs.withColumn("__key", key)
-    rest = held.join(out, F.col("__key") == F.col("k_"), "left_anti").drop("__key")
-    again = out.where("stays")
-    if again.limit(1).count():  # rows that repeat id and text: one of each
-        rest = rest.unionByName(held.join(again, F.col("__key") == F.col("k_"), "left_semi").dropDuplicates(["__key"]).drop("__key"))
-    return rest
-
-
-def _classes_of(docs: DataFrame, n: int) -> DataFrame:
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in pieces(batch.column(2)):
-                token, offset = shingles(*flat(batch.column(2)[a:b]), n)
-                some = np.flatnonzero(np.diff(offset))
-                if len(some):
-                    fp = [np.add.reduceat(mix64(token + U64(salt)), offset[some]).view(np.int64) for salt in (1 << 60, 1 << 61)]
-                    take = pa.array(some + a)
-                    yield pa.RecordBatch.from_arrays([_struct(pa.array(fp[0]), pa.array(fp[1])), batch.column(0).take(take), batch.column(1).take(take)], names=["fp", "doc_id", "th"])
-
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("th"), text.alias("text")).mapInArrow(name, f"fp {PRINT}, doc_id bigint, th bigint")
+    told = classes.select("c", "rep", "members").join(label.toDF("c", "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    best = told.groupBy("label").agg(F.min("rep").alias("best"), F.sum(F.size("members")).alias("all")).where("all > 1")
+    # the rows of groups of several rows, by (doc_id, text fingerprint): those that go, and those that stay but are there more than once
+    fate = told.join(best, "label").select(F.explode("members").alias("key"), "best").groupBy("key").agg(F.max(F.col("key") == F.col("best")).alias("stays"), F.count("*").alias("rows"))
+    fate = stored(fate.where("not stays or rows > 1").select("key", "stays"), folder, "fate")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("th")).alias("key"))
+    rest = held.join(fate, "key", "left_anti")
+    again = fate.where("stays")
+    if not again.isEmpty():
+        rest = rest.select("row").union(held.join(again, "key", "left_semi").dropDuplicates(["key"]).select("row"))
+    return rest.select("row.*")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,22 +395,17 @@ def sql(n: int = N, threshold: float = THRESHOLD) -> str:
     gram = " || chr(1) || ".join(f"w[i + {k}]" for k in range(n))
     return f"""
 WITH split AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[\\x00-\\x20]+'), lambda x: x <> '') w FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[\\x00-\\x20]+'), lambda x: x <> '') w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
 ), sets AS (
-  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, chr(1))] ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: {gram}) END)) t
+  SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, chr(1))] ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: {gram}) END)) t
   FROM split WHERE len(w) > 0
-), classes AS (
-  SELECT row_number() OVER () c, t, len(t) n, list_sort(list(doc_id)) ids FROM sets GROUP BY t
+), numbered AS (
+  SELECT row_number() OVER () r, doc_id, t FROM sets
 ), tokens AS (
-  SELECT c, n, unnest(t) g FROM classes
-), pairs AS (
-  SELECT a.c c1, b.c c2, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) j
-  FROM tokens a JOIN tokens b ON a.g = b.g AND a.c < b.c GROUP BY a.c, b.c
-), near AS (
-  SELECT j, x.ids p, y.ids q FROM pairs JOIN classes x ON x.c = c1 JOIN classes y ON y.c = c2 WHERE j >= {threshold}
+  SELECT r, doc_id, len(t) n, unnest(t) g FROM numbered
 )
-SELECT least(p[1], q[1]) AS doc_a, greatest(p[1], q[1]) AS doc_b, round(j, 6) AS jaccard,
-  CASE WHEN p[1] <= q[1] THEN p ELSE q END AS docs_a, CASE WHEN p[1] <= q[1] THEN q ELSE p END AS docs_b FROM near
-UNION ALL
-SELECT ids[1], ids[2], 1.0, ids, ids FROM classes WHERE len(ids) > 1
+SELECT least(any_value(a.doc_id), any_value(b.doc_id)) AS doc_a, greatest(any_value(a.doc_id), any_value(b.doc_id)) AS doc_b,
+  round(count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard
+FROM tokens a JOIN tokens b ON a.g = b.g AND a.r < b.r AND a.doc_id <> b.doc_id GROUP BY a.r, b.r
+HAVING count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) >= {threshold}
 """

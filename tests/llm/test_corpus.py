@@ -12,7 +12,7 @@ from rulequarry.llm import decontaminate, graph, jaccard, lattice, mixing, quali
 from rulequarry.llm._common import components, flat, shared_dir, words
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-EXTRA = SCHEMA + ", shard int, c string, k string, g string, row string, s string, here string, quality_p double, h bigint"
+EXTRA = SCHEMA + ", shard int, c string, k string, g string, row string, s string, here string, quality_p double, h bigint, k_ string, __key bigint, stays boolean, th bigint, `key` string, item_id bigint, `a b` int"
 
 
 def prose(seed: int, n: int) -> str:
@@ -36,7 +36,7 @@ def odd(spark):
 @pytest.fixture(scope="module")
 def wide(spark):
     """The same rows with columns whose names the operators use themselves."""
-    return spark.createDataFrame([(*r, 7, "c", "k", "g", "row", "s", "here", 0.5, 1) for r in odd_rows()], EXTRA)
+    return spark.createDataFrame([(*r, 7, "c", "k", "g", "row", "s", "here", 0.5, 1, "k_", 3, None, 4, "key", 5, 6) for r in odd_rows()], EXTRA)
 
 
 @pytest.fixture(scope="module")
@@ -61,8 +61,6 @@ def as_sql(df, result, sql: str) -> None:
     assert rows(result.select(*names)) == in_duckdb(df, sql)
 
 
-# --- 1 ----------------------------------------------------------------------------------------------------------
-
 
 @pytest.mark.parametrize("size", [1000, 20_000, 1 << 26])
 def test_shards_agree_with_sql(odd, size):
@@ -97,8 +95,6 @@ def test_splitters_with_tolerance(spark):
         assert (upto >= goal).all() and (upto - goal <= max(100, tolerance * n.sum() / 8 + 100)).all()
 
 
-# --- 2 ----------------------------------------------------------------------------------------------------------
-
 
 def shingle_set(text: str | None) -> frozenset:
     w = [x for x in "".join(c if ord(c) > 32 else " " for c in (text or "").lower()).split(" ") if x]
@@ -110,17 +106,15 @@ def brute_pairs(table: list[tuple], threshold: float = 0.5) -> set[tuple]:
     for i, a in enumerate(table):
         for b in table[i + 1 :]:
             x, y = shingle_set(a[1]), shingle_set(b[1])
-            if x and y and len(x & y) / len(x | y) >= threshold and a[0] is not None and b[0] is not None:
+            if x and y and len(x & y) / len(x | y) >= threshold and None not in (a[0], b[0]) and a[0] != b[0]:
                 out.add((min(a[0], b[0]), max(a[0], b[0])))
     return out
 
 
-def unfolded(df) -> set[tuple]:
-    out = set()
-    for r in df.collect():
-        same = list(r.docs_a) == list(r.docs_b)
-        out |= {(min(a, b), max(a, b)) for i, a in enumerate(r.docs_a) for j, b in enumerate(r.docs_b) if not same or i < j}
-    return out
+def plain(df) -> set[tuple]:
+    out = [(r.doc_a, r.doc_b) for r in df.collect()]
+    assert len(out) == len(set(out)) and all(a < b for a, b in out)
+    return set(out)
 
 
 def copies(seed: int = 5) -> list[tuple]:
@@ -135,23 +129,33 @@ def copies(seed: int = 5) -> list[tuple]:
 
 def test_jaccard_join_finds_all_pairs(spark, odd, wide):
     table = copies()
-    found = unfolded(jaccard.jaccard_join(spark.createDataFrame(table, SCHEMA)))
-    truth = brute_pairs(table)
-    assert found <= truth and len(found) >= 0.99 * len(truth)
-    assert unfolded(jaccard.jaccard_join(odd)) == brute_pairs(odd_rows()) == unfolded(jaccard.jaccard_join(wide))
+    docs = spark.createDataFrame(table, SCHEMA)
+    assert plain(jaccard.jaccard_join(docs)) == brute_pairs(table)
+    as_sql(docs, jaccard.jaccard_join(docs), jaccard.sql())
+    as_sql(odd, jaccard.jaccard_join(odd), jaccard.sql())
+    assert plain(jaccard.jaccard_join(odd)) == brute_pairs(odd_rows()) == plain(jaccard.jaccard_join(wide))
+    folded = {(a, b) for r in jaccard.jaccard_join(odd, factored=True).collect() for a in r.docs_a for b in r.docs_b if a != b}
+    assert {tuple(sorted(p)) for p in folded} == brute_pairs(odd_rows())
+
+
+def test_an_id_with_two_texts_pairs_by_each_of_them(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "e f g h"), (2, "a b c d"), (3, "E F  G h"), (3, "e f g h"), (3, "e f g h"), (4, "a b")], "doc_id bigint, text string")
+    as_sql(docs, jaccard.jaccard_join(docs), jaccard.sql())
+    assert rows(jaccard.jaccard_join(docs)) == [(1, 2, 1.0), (1, 3, 1.0)]
 
 
 def test_jaccard_join_splits_large_nodes(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 5)
-    table = copies(6)
-    found, truth = unfolded(jaccard.jaccard_join(spark.createDataFrame(table, SCHEMA))), brute_pairs(table)
-    assert found <= truth and len(found) >= 0.9 * len(truth)
+    # copies, and many documents that share a passage but are no copies: alike nodes and nodes that have to be split
+    table = copies(6) + [(500 + i, f"{prose(7000 + i, 30)} {prose(1, 20)} {prose(8000 + i // 3, 70)}", "en", "a", 1) for i in range(120)]
+    found, truth = plain(jaccard.jaccard_join(spark.createDataFrame(table, SCHEMA))), brute_pairs(table)
+    assert found <= truth and len(found) >= 0.999 * len(truth) > 200
 
 
 def test_jaccard_join_keeps_its_recall_in_large_nodes():
-    """Pairs right at the threshold all of whose nodes are split to the last depth: long ones and ones of three tokens."""
-    rng, rows = np.random.default_rng(7), 3000
+    """Pairs right at the threshold all of whose nodes are split ten times: long ones and ones of three tokens."""
+    rng, rows = np.random.default_rng(7), 1500
     fan, runs, near = jaccard.plan(jaccard.THRESHOLD, jaccard.RECALL)
     for both, own in ((400, 200), (2, 1)):
         shared = rng.integers(1, 1 << 52, (rows, both), dtype=np.uint64)
@@ -159,10 +163,15 @@ def test_jaccard_join_keeps_its_recall_in_large_nodes():
         found = np.zeros(rows, bool)
         for run in range(runs):
             pair, node = np.arange(rows), np.full(rows, run + 1)
-            for depth in range(jaccard.DEPTH):
+            for depth in range(10):
                 width = fan * jaccard.WIDER if depth else fan
                 left, right = jaccard.children(node, a[pair], width), jaccard.children(node, b[pair], width)
                 at, f = np.nonzero(left == right)
+                # nodes of a pair multiply: 16 of them are followed
+                order = np.lexsort((rng.random(len(at)), pair[at]))
+                at, f = at[order], f[order]
+                nth = np.arange(len(at)) - np.searchsorted(pair[at], pair[at])
+                at, f = at[nth < 16], f[nth < 16]
                 pair, node = pair[at], left[at, f]
             found[pair] = True
         assert (found & (jaccard._agree(a, b) >= near)).mean() >= 0.9975, (both, own)
@@ -188,8 +197,6 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{i: 0 for i in range(61)}, 200: 200, 201: 200, 202: 200}
 
 
-# --- 3 ----------------------------------------------------------------------------------------------------------
-
 
 def labelled(n: int, seed: int) -> tuple[list[str], np.ndarray]:
     rng, texts, y = random.Random(seed), [], []
@@ -243,8 +250,6 @@ def test_classify_handles_odd_rows(spark, odd, wide, nothing):
     assert all(r.quality_p == 0.5 and r.keep for r in blank.collect())
 
 
-# --- 4 ----------------------------------------------------------------------------------------------------------
-
 
 def vectors(seed: int = 1) -> list[tuple]:
     rng, out = np.random.default_rng(seed), []
@@ -292,8 +297,6 @@ def test_pairs_of_centres_name_shards(spark, monkeypatch):
     assert found <= truth and len(found) >= 0.9 * len(truth)
 
 
-# --- 5 ----------------------------------------------------------------------------------------------------------
-
 
 def test_lattice_agrees_with_all_segmentations():
     surface = [None, b"a", b"b", b"ab", b"\xe2\x96\x81", b"\xe2\x96\x81a", b"ba", b"a", *(bytes([i]) for i in range(128, 256))]
@@ -325,8 +328,6 @@ def test_lattice_scores_of_odd_rows(odd, wide, nothing):
     assert lattice.lattice_scores(nothing).count() == 0
 
 
-# --- 6 ----------------------------------------------------------------------------------------------------------
-
 
 def edit_distance_inside(pattern: bytes, text: bytes) -> int:
     row = [0] * (len(text) + 1)
@@ -378,8 +379,6 @@ def test_leaks_of_odd_rows(spark, odd, wide, nothing):
     assert decontaminate.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
 
-# --- 7 ----------------------------------------------------------------------------------------------------------
-
 
 def test_token_counts_are_exact(odd, wide, nothing):
     coder = tokens._encoder(tokens.VOCABULARY)
@@ -405,8 +404,6 @@ def test_scan_of_a_foreign_file(spark, tmp_path):
         assert [r.n_tokens for r in got.orderBy("ordinal").collect()] == [2, 0, 300, 3]
 
 
-# --- 8 ----------------------------------------------------------------------------------------------------------
-
 
 def brute_entropy(text: str, chars: set[str]) -> float:
     best, run = -1.0, ""
@@ -445,8 +442,6 @@ def test_secrets_and_allow_list(spark, odd, wide, nothing):
     assert secrets.entropy_secrets(odd).count() == secrets.entropy_secrets(wide).count() == 0 == secrets.entropy_secrets(nothing).count()
 
 
-# --- 9 ----------------------------------------------------------------------------------------------------------
-
 
 def test_suffix_arrays():
     rng = random.Random(0)
@@ -490,8 +485,6 @@ def test_words_split_at_white_space_and_rows():
     assert np.diff(at).tolist() == [2, 1, 0, 0, 3] and len(set(h.tolist())) == 6
 
 
-# --- 10 ---------------------------------------------------------------------------------------------------------
-
 
 def test_mixture_agrees_with_sql(odd, wide):
     as_sql(odd, mixing.pareto_mix(odd, expand=False), mixing.SQL)
