@@ -1,15 +1,17 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
-Vectors are assigned to overlapping clusters.  Each cluster is a shard in which every vector is linked to a pruned
-choice of its nearest neighbours: a neighbour is left out if one that was already chosen is much closer to it.  The
-adjacency lists of all shards are united.  Every vector is a query: a greedy search starts at the shard's medoid,
-and from what it finds within range the search expands along the graph until no new vector is in range.  Pairs are
-verified on the exact vectors, and the recall is audited by brute force on a sample of queries; if it falls short,
-the search is repeated with more overlap and a wider beam.
+Vectors are assigned to overlapping clusters: to coarse cells around centres that all vectors were averaged into, and
+inside these to fine ones around members.  Each cluster is a shard in which every vector is linked to a pruned choice
+of its nearest neighbours: a neighbour is left out if one that was already chosen is much closer to it.  The adjacency
+lists of all shards are united.  Every vector is a query: a greedy search starts at the shard's medoid, and from what
+it finds within range the search expands along the graph until no new vector is in range.  Pairs are verified on the
+exact vectors, and the recall is audited by brute force on a sample of queries; while it falls short, the search is
+repeated with more overlap and a wider beam, and what it adds is kept.  Vectors of each length are a world of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +23,9 @@ from ._common import read, shared_dir, stored
 from .jaccard import groups
 
 THRESHOLD, RECALL = 0.95, 0.95
-SHARD, OVERLAP, DEGREE, POOL, BEAM, ALPHA, SLACK = 2000, 2, 24, 96, 16, 1.2, 0.15
-MOST_CENTRES = 4096  # above, shards are named by pairs of centres, so that the centres stay small
-AUDIT = 256
+SHARD, BLOCK, OVERLAP, DEGREE, POOL, BEAM, ALPHA, SLACK = 200, 1000, 2, 24, 96, 16, 1.2, 0.15
+AUDIT, AUDIT_PAIRS, MOST_AUDIT = 256, 100, 4096  # audited queries at first, near pairs that they should have, queries at most
+ATTEMPTS = 4
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -116,6 +118,13 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, star
     return queries[code // n], code % n
 
 
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """The lengths that the vectors of a column have, and the rows of each."""
+    size = np.diff(column.offsets.to_numpy())
+    for d in np.unique(size):
+        yield int(d), np.flatnonzero(size == d)
+
+
 def _centres(vectors: DataFrame, count: int, rounds: int = 3) -> np.ndarray:
     """Cluster centres: the vectors with the least hashes, moved by a few rounds over all vectors."""
     first = vectors.orderBy(F.xxhash64("k", F.lit("centre"))).limit(count).select("x").toPandas()["x"]
@@ -143,30 +152,87 @@ def _centres(vectors: DataFrame, count: int, rounds: int = 3) -> np.ndarray:
     return centres
 
 
-def _assign(vectors: DataFrame, centres: np.ndarray, overlap: int, pairs: bool) -> DataFrame:
+def _coarse(vectors: DataFrame, centres: dict[int, np.ndarray], overlap: int) -> DataFrame:
+    """(g, r, k, x): each vector in its ``overlap`` nearest coarse cells, r = 0 the nearest; a cell is of one length.
+
+    A length without centres is one cell.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column(1))
-            sim = x @ centres.T
-            take = min(overlap + pairs, len(centres))
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :take]
-            if pairs and take > 1:  # a shard is an unordered pair of near centres
-                i, j = np.triu_indices(take, 1)
-                cell = np.minimum(top[:, i], top[:, j]) * len(centres) + np.maximum(top[:, i], top[:, j])
-            else:
-                cell = top
-            rows = pa.array(np.repeat(np.arange(len(x)), cell.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), batch.column(0).take(rows), batch.column(1).take(rows)], names=["g", "k", "x"])
-
-    return vectors.select("k", "x").mapInArrow(run, "g bigint, k bigint, x array<float>")
+            for d, rows in _by_length(batch.column(1)):
+                part = batch.take(pa.array(rows))
+                own = centres.get(d)
+                near = np.zeros((len(rows), 1), np.int64) if own is None else np.argsort(-(matrix(part.column(1)) @ own.T), axis=1, kind="stable")[:, :overlap]
+                take = pa.array(np.repeat(np.arange(len(rows)), near.shape[1]))
+                rank = np.tile(np.arange(near.shape[1], dtype=np.int32), len(rows))
+                yield pa.RecordBatch.from_arrays([pa.array((d << 44 | near << 22).ravel()), pa.array(rank), part.column(0).take(take), part.column(1).take(take)], names=["g", "r", "k", "x"])
+
+    return vectors.select("k", "x").mapInArrow(run, "g bigint, r int, k bigint, x array<float>")
+
+
+def _fine(coarse: DataFrame, count: dict[int, int], overlap: int) -> DataFrame:
+    """(g, k, x): each coarse cell cut up around ``count`` of its vectors; one at home there goes to ``overlap`` parts, others to one.
+
+    Only the centres of one coarse cell are in memory; its vectors stream past them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(g: int, centres: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for batch in table.combine_chunks().to_batches():
+                near = np.argsort(-(matrix(batch.column(3)) @ centres.T), axis=1, kind="stable")[:, :overlap]
+                use = (batch.column(1).to_numpy() == 0)[:, None] | (np.arange(near.shape[1]) == 0)
+                row, spot = np.nonzero(use)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(g + near[row, spot]), batch.column(2).take(take), batch.column(3).take(take)], names=["g", "k", "x"])
+
+        own, centres, held = None, None, []
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            edge = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)] if len(g) else []
+            for a, b in zip(edge[:-1], edge[1:]):
+                if g[a] != own:
+                    if held:
+                        table = pa.concat_tables(held)
+                        yield from parts(own, matrix(table.column("x")), table)
+                    own, centres, held = int(g[a]), None, []
+                held.append(pa.Table.from_batches([batch.slice(int(a), int(b - a))]))
+                want = count[own >> 44]
+                if centres is None and sum(map(len, held)) >= want:
+                    centres = matrix(pa.concat_tables(held).column("x").slice(0, want))
+                if centres is not None:
+                    yield from parts(own, centres, pa.concat_tables(held))
+                    held = []
+        if held:
+            table = pa.concat_tables(held)
+            yield from parts(own, matrix(table.column("x")), table)
+
+    ordered = coarse.repartition(F.col("g")).sortWithinPartitions("g", "r", F.xxhash64("k"))
+    return ordered.mapInArrow(run, "g bigint, k bigint, x array<float>")
 
 
 def _grouped(df: DataFrame) -> DataFrame:
     return df.repartition(F.col("g")).sortWithinPartitions("g")
 
 
+def _blocks(x: np.ndarray, rows: np.ndarray, seed: int = 1) -> Iterator[np.ndarray]:
+    """Overlapping blocks of at most 2 * BLOCK rows: around random members as long as that cuts them up, else slices."""
+    if len(rows) <= 2 * BLOCK:
+        yield rows
+        return
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(rows, -(-2 * len(rows) // BLOCK), replace=False)]
+    near = np.concatenate([np.argpartition(-(x[rows[i : i + 4096]] @ centres.T), 1, axis=1)[:, :2] for i in range(0, len(rows), 4096)])
+    for c in range(len(centres)):
+        part = rows[(near == c).any(1)]
+        if len(part) <= 0.5 * len(rows):
+            yield from _blocks(x, part, seed + 1)
+        else:  # all alike: any slices do
+            mixed = rng.permutation(part)
+            for start in range(0, max(1, len(part) - BLOCK), BLOCK):
+                yield mixed[start : start + 2 * BLOCK]
+
+
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in groups(batches, "g"):
         g = table.column("g").to_numpy()
@@ -174,11 +240,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
             part = table.slice(a, b - a)
             k, x = part.column("k").to_numpy(), matrix(part.column("x"))
-            # a crowded shard is linked block by block of neighbours along a random direction, blocks overlapping by half
-            line = np.argsort(x @ np.random.default_rng(1).normal(size=x.shape[1]).astype(np.float32), kind="stable")
-            most = 4 * SHARD
-            for start in range(0, max(1, len(k) - most // 2), most // 2):
-                block = line[start : start + most]
+            for block in _blocks(x, np.arange(len(k))):
                 lists = robust_prune(x[block])
                 src = np.repeat(k[block], [len(y) for y in lists])
                 dst = k[block][np.concatenate(lists)] if len(src) else np.zeros(0, np.int64)
@@ -207,8 +269,8 @@ def _search(threshold: float, beam: int):
                 adjacency = _padded(np.split(code % len(k), np.searchsorted(code // len(k), np.arange(1, len(k)))))
                 member = np.flatnonzero(size > 0) if (size > 0).any() else np.arange(len(k))
                 medoid = int(member[(x[member] @ x[member].mean(0)).argmax()])
-                for i in range(0, len(member), 2000):
-                    p, q = range_search(x, adjacency, member[i : i + 2000], medoid, threshold, beam)
+                for i in range(0, len(member), 1000):
+                    p, q = range_search(x, adjacency, member[i : i + 1000], medoid, threshold, beam)
                     exact = np.einsum("id,id->i", x[p].astype(np.float64), x[q].astype(np.float64)) / np.linalg.norm(x[p].astype(np.float64), axis=1) / np.linalg.norm(x[q].astype(np.float64), axis=1)
                     keep = (exact >= threshold) & (k[p] != k[q])
                     p, q, exact = p[keep], q[keep], exact[keep]
@@ -219,34 +281,49 @@ def _search(threshold: float, beam: int):
 
 
 def audit(vectors: DataFrame, pairs: DataFrame, threshold: float, sample: int = AUDIT) -> tuple[int, int]:
-    """(pairs found, pairs there are) of ``sample`` queries chosen by hash, each compared with every vector."""
-    chosen = vectors.orderBy(F.xxhash64("k", F.lit("audit"))).limit(sample).select("k", "x").toPandas()
-    if chosen.empty:
+    """(pairs found, pairs there are) of ``sample`` queries chosen by hash, each compared with every vector of its length."""
+    chosen = vectors.orderBy(F.xxhash64("k", F.lit("audit"))).limit(sample).select("k", "x").toArrow()
+    queries = {}
+    for part in chosen.combine_chunks().to_batches():
+        for d, rows in _by_length(part.column(1)):
+            q = matrix(part.column(1).take(pa.array(rows))).astype(np.float64)
+            queries[d] = part.column(0).to_numpy()[rows], q / np.linalg.norm(q, axis=1)[:, None]
+    if not queries:
         return 0, 0
-    keys, q = chosen["k"].to_numpy(), np.array(chosen["x"].tolist(), np.float64)
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                k, x = batch.column(0).to_numpy(), matrix(batch.column(1)).astype(np.float64)
-                i, j = np.nonzero(q @ x.T / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1) >= threshold)
-                keep = keys[i] != k[j]
-                i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[i], k[j])), pa.array(np.maximum(keys[i], k[j]))], names=["a", "b"])
+            for d, rows in _by_length(batch.column(1)):
+                if d not in queries:
+                    continue
+                keys, q = queries[d]
+                k, x = batch.column(0).to_numpy()[rows], matrix(batch.column(1).take(pa.array(rows))).astype(np.float64)
+                for at in range(0, len(k), 2000):
+                    part = x[at : at + 2000]
+                    i, j = np.nonzero(q @ part.T / np.linalg.norm(part, axis=1) >= threshold)
+                    j += at
+                    i, j = i[keys[i] != k[j]], j[keys[i] != k[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[i], k[j])), pa.array(np.maximum(keys[i], k[j]))], names=["a", "b"])
 
     truth = vectors.select("k", "x").mapInArrow(brute, "a bigint, b bigint").distinct()
     row = truth.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("hit"), F.count("*")).first()
     return row[0], row[1]
 
 
-def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, shard: int = SHARD, overlap: int = OVERLAP, beam: int = BEAM) -> DataFrame:
-    """Pairs of embeddings whose cosine is at least ``threshold``: (vec_a, vec_b, cosine, vecs_a, vecs_b).
+def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, shard: int = SHARD, overlap: int = OVERLAP, beam: int = BEAM, attempts: int = ATTEMPTS, factored: bool = False) -> DataFrame:
+    """Pairs of embeddings whose cosine is at least ``threshold``: (vec_a, vec_b, cosine), vec_a < vec_b.
+
+    Embeddings with equal directions and lengths form a class, and only classes are searched.  With ``factored`` a row
+    is (vecs_a, vecs_b, cosine): each of vecs_a pairs with each other one of vecs_b, and one with vecs_a = vecs_b lists
+    such a class of two or more (cosine 1).  Vectors of different lengths never match; each length is searched.
+
+    Null or empty vectors, those with null, NaN or infinite entries and zero vectors match nothing.  Rows that repeat
+    id and direction count once; an id with several vectors pairs by each of them, never with itself; vectors without
+    an id can't be listed.  Ties: all pairs at exactly the threshold belong to the result.  Very long vectors are
+    compared whole.  Empty table: empty result.  Columns other than ``vec_id`` and ``embedding`` are not read.
 
-    Embeddings with equal directions and lengths form a class; a row says that each of vecs_a pairs with each of
-    vecs_b, and one with vecs_a = vecs_b lists such a class of two or more (cosine 1).  vec_a and vec_b are the least
-    ids (the two least of one class).  Null or empty vectors, those with null, NaN or infinite entries, zero vectors, and vectors of another
-    length than most match nothing.  Ids are listed as often as they occur; vectors without an id can't be listed.
-    Empty table: empty result.  Columns other than ``vec_id`` and ``embedding`` are not read.
+    The audit takes ``AUDIT`` queries and, while they have fewer than ``AUDIT_PAIRS`` near vectors, four times as many,
+    ``MOST_AUDIT`` at most.  If ``recall`` is still missed after ``attempts`` searches, a RuntimeError says so.
     """
     spark = embeddings.sparkSession
     folder = shared_dir(spark)
@@ -254,38 +331,43 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = THRESHOLD, reca
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("id"), x.alias("e"), norm.alias("norm")).where("size(e) > 0 and norm > 0 and norm < double('infinity')")
     unit = F.transform("e", lambda v: (v / F.col("norm")).cast("float"))
-    classes = rows.select("id", unit.alias("x")).groupBy(F.xxhash64("x").alias("k")).agg(F.first("x").alias("x"), F.sort_array(F.collect_list("id")).alias("ids"))
-    classes = stored(classes, folder, "classes")
-    width = classes.groupBy(F.size("x").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).first()
-    schema = "vec_a bigint, vec_b bigint, cosine double, vecs_a array<bigint>, vecs_b array<bigint>"
-    if width is None:
-        return spark.createDataFrame([], schema)
-    vectors = classes.where(F.size("x") == width[0])
-    total = vectors.count()
-    for attempt in range(3):
-        count = max(1, -(-overlap * total // shard))
-        paired = count > MOST_CENTRES
-        centres = _centres(vectors, min(count, MOST_CENTRES))
-        cells = stored(_assign(vectors, centres, overlap, paired), folder, f"cells-{attempt}")
+    classes = rows.select("id", unit.alias("x")).groupBy("x").agg(F.array_sort(F.array_distinct(F.collect_list("id"))).alias("ids"))
+    classes = stored(classes.withColumn("k", F.monotonically_increasing_id()), folder, "classes")  # numbers that are fixed once written
+    vectors = classes.select("k", "x")
+    amount = {d: n for d, n in vectors.groupBy(F.size("x")).count().collect()}  # a row for each length
+    pairs = None
+    for attempt in range(attempts):
+        cells = {d: max(1, -(-overlap * n // shard)) for d, n in amount.items()}
+        outer_cells = {d: math.isqrt(c - 1) + 1 for d, c in cells.items()}
+        centres = {d: _centres(vectors.where(F.size("x") == d), c) for d, c in outer_cells.items() if c > 1}
+        cells = stored(_fine(_coarse(vectors, centres, overlap), {d: -(-c // outer_cells[d]) for d, c in cells.items()}, overlap), folder, f"cells-{attempt}")
         links = _grouped(cells).mapInArrow(_build, "k bigint, n bigint").distinct()
         lists = stored(links.groupBy("k").agg(F.collect_list("n").alias("near")), folder, f"lists-{attempt}")
         # each shard gets its members with their united lists, and the vectors that these point to elsewhere
         member = cells.select("g", "k").join(lists, "k", "left").select("g", "k", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
         outer = member.select("g", F.explode("near").alias("k")).distinct().join(cells.select("g", "k"), ["g", "k"], "left_anti").select("g", "k", F.array().cast("array<bigint>").alias("near"))
-        local = member.union(outer).join(vectors.select("k", "x"), "k").select("g", "k", "x", "near")
+        local = member.union(outer).join(vectors, "k").select("g", "k", "x", "near")
         found = _grouped(local).mapInArrow(_search(threshold, beam), "a bigint, b bigint, s double")
+        found = found if pairs is None else found.union(pairs)
         pairs = stored(found.groupBy("a", "b").agg(F.max("s").alias("s")), folder, f"pairs-{attempt}")
-        got, there = audit(vectors, pairs, threshold)
+        sample = AUDIT
+        got, there = audit(vectors, pairs, threshold, sample)
+        while there < AUDIT_PAIRS and sample < min(MOST_AUDIT, sum(amount.values())):
+            sample *= 4
+            got, there = audit(vectors, pairs, threshold, sample)
         if got >= recall * there:
             break
         overlap, beam = overlap + 1, beam * 2
+    else:
+        raise RuntimeError(f"audited recall {got}/{there} is below {recall} after {attempts} searches")
     ids = classes.where("size(ids) > 0").select("k", "ids")
-    out = pairs.join(ids.toDF("a", "p"), "a").join(ids.toDF("b", "q"), "b")
-    turn = F.col("p")[0] <= F.col("q")[0]
-    out = out.select(F.when(turn, F.col("p")).otherwise(F.col("q")).alias("p"), F.when(turn, F.col("q")).otherwise(F.col("p")).alias("q"), "s")
-    out = out.select(F.col("p")[0].alias("vec_a"), F.col("q")[0].alias("vec_b"), F.round("s", 4).alias("cosine"), F.col("p").alias("vecs_a"), F.col("q").alias("vecs_b"))
-    equal = vectors.where("size(ids) > 1").select(F.col("ids")[0].alias("vec_a"), F.col("ids")[1].alias("vec_b"), F.lit(1.0).alias("cosine"), F.col("ids").alias("vecs_a"), F.col("ids").alias("vecs_b"))
-    return out.union(equal)
+    out = pairs.join(ids.toDF("a", "vecs_a"), "a").join(ids.toDF("b", "vecs_b"), "b").select("vecs_a", "vecs_b", F.round("s", 4).alias("cosine"))
+    equal = ids.where("size(ids) > 1").select(F.col("ids").alias("vecs_a"), F.col("ids").alias("vecs_b"), F.lit(1.0).alias("cosine"))
+    if factored:
+        return out.union(equal)
+    one = out.select(F.explode("vecs_a").alias("a"), "vecs_b", "cosine").select("a", F.explode("vecs_b").alias("b"), "cosine").where("a <> b")
+    same = equal.select(F.posexplode("vecs_a").alias("i", "a"), "vecs_b", "cosine").select("a", F.explode(F.slice("vecs_b", F.col("i") + 2, F.size("vecs_b"))).alias("b"), "cosine")
+    return one.union(same).select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b"), "cosine")
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,15 +376,12 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH rows AS (
-  SELECT vec_id, embedding::DOUBLE[] e FROM embeddings
-  WHERE len(embedding) > 0 AND list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v)) > 0
-), classes AS (
-  SELECT list_sort(list(vec_id)) ids, any_value(e) e
-  FROM rows GROUP BY list_transform(e, lambda v: (v / sqrt(list_sum(list_transform(e, lambda u: u * u))))::FLOAT)
+  SELECT DISTINCT vec_id, list_transform(embedding::DOUBLE[], lambda v: (v / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda u: u * u))))::FLOAT) e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v)) > 0
+), numbered AS (
+  SELECT row_number() OVER () r, vec_id, e::DOUBLE[] e FROM rows
 )
-SELECT a.ids[1] AS vec_a, b.ids[1] AS vec_b, round(list_cosine_similarity(a.e, b.e), 4) AS cosine, a.ids AS vecs_a, b.ids AS vecs_b
-FROM classes a JOIN classes b ON a.ids[1] < b.ids[1] AND len(a.e) = len(b.e)
+SELECT least(a.vec_id, b.vec_id) AS vec_a, greatest(a.vec_id, b.vec_id) AS vec_b, round(list_cosine_similarity(a.e, b.e), 4) AS cosine
+FROM numbered a JOIN numbered b ON a.r < b.r AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
 WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}
-UNION ALL
-SELECT ids[1], ids[2], 1.0, ids, ids FROM classes WHERE len(ids) > 1
 """

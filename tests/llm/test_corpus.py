@@ -261,43 +261,51 @@ def vectors(seed: int = 1) -> list[tuple]:
     return out
 
 
-def unfolded_vectors(df) -> set[tuple]:
+def near_pairs(table: list[tuple]) -> set[tuple]:
     out = set()
-    for r in df.collect():
-        same = list(r.vecs_a) == list(r.vecs_b)
-        out |= {(min(a, b), max(a, b)) for i, a in enumerate(r.vecs_a) for j, b in enumerate(r.vecs_b) if not same or i < j}
+    for i, (a, x) in enumerate(table):
+        for b, y in table[i + 1 :]:
+            if len(x) == len(y) and a != b and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.95:
+                out.add((min(a, b), max(a, b)))
     return out
 
 
-def test_graph_search_finds_near_vectors(spark):
-    table = vectors()
-    found = unfolded_vectors(graph.near_duplicates(spark.createDataFrame(table, "vec_id bigint, embedding array<float>"), shard=60))
-    x = np.array([v for _, v in table])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
-    truth = set(zip(i.tolist(), j.tolist()))
-    assert found <= truth and len(found) >= 0.9 * len(truth) > 50
+def plain_vectors(df) -> set[tuple]:
+    out = [(r.vec_a, r.vec_b) for r in df.collect()]
+    assert len(out) == len(set(out)) and all(a < b for a, b in out)
+    return set(out)
+
+
+@pytest.mark.parametrize("shard", [20, 60])
+def test_graph_search_finds_near_vectors(spark, monkeypatch, shard):
+    monkeypatch.setattr(graph, "BLOCK", 15)
+    # two lengths, each with pairs of its own, and a crowd that no centre can tell apart
+    table = vectors() + [(1000 + i, v[:9]) for i, v in vectors(2)]
+    rng = np.random.default_rng(3)
+    table += [(2000 + i, (np.ones(16) + rng.normal(size=16) * 0.01).tolist()) for i in range(70)]
+    found = plain_vectors(graph.near_duplicates(spark.createDataFrame(table, "vec_id bigint, embedding array<float>"), shard=shard))
+    truth = near_pairs(table)
+    assert found <= truth and len(found) >= 0.95 * len(truth) > 2500
+    assert len([p for p in found if p[0] < 1000]) >= 0.95 * len([p for p in truth if p[0] < 1000]) > 50
+    assert len([p for p in found if 1000 <= p[0] < 2000]) >= 0.95 * len([p for p in truth if 1000 <= p[0] < 2000]) > 50
+
+
+def test_graph_search_says_so_if_it_misses_its_recall(spark, monkeypatch):
+    monkeypatch.setattr(graph, "audit", lambda *a: (1, 200))
+    with pytest.raises(RuntimeError, match="audited recall"):
+        graph.near_duplicates(spark.createDataFrame(vectors(), "vec_id bigint, embedding array<float>"), attempts=1)
 
 
 def test_graph_search_of_odd_vectors(spark):
-    table = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [], 1), (5, [0.0, 0.0], 1), (6, [1.0, None], 1), (7, [float("nan"), 1.0], 1), (8, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.01], 1), (9, [1.0, 0.02], 1)]
+    table = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [], 1), (5, [0.0, 0.0], 1), (6, [1.0, None], 1), (7, [float("nan"), 1.0], 1), (8, [1.0, 0.0, 0.0], 1), (None, [1.0, 0.01], 1), (9, [1.0, 0.02], 1), (10, [1.0, 0.0, 0.0], 1), (8, [0.0, 1.0, 0.0], 1), (11, [0.0, 1.0] * 3000, 1), (12, [0.0, 2.0] * 3000, 1)]
     df = spark.createDataFrame(table, "vec_id bigint, embedding array<float>, k int")
-    assert unfolded_vectors(graph.near_duplicates(df)) == {(1, 2), (2, 2), (1, 9), (2, 9)}
+    assert plain_vectors(graph.near_duplicates(df)) == {(1, 2), (1, 9), (2, 9), (8, 10), (11, 12)}
+    folded = {(a, b) for r in graph.near_duplicates(df, factored=True).collect() for a in r.vecs_a for b in r.vecs_b if a < b}
+    assert folded == {(1, 2), (1, 9), (2, 9), (8, 10), (11, 12)}
     assert graph.near_duplicates(df.limit(0)).count() == 0
     assert graph.near_duplicates(df.where("vec_id = 1")).count() == 0
 
 
-def test_pairs_of_centres_name_shards(spark, monkeypatch):
-    monkeypatch.setattr(graph, "MOST_CENTRES", 4)
-    table = vectors(2)
-    found = unfolded_vectors(graph.near_duplicates(spark.createDataFrame(table, "vec_id bigint, embedding array<float>"), shard=20))
-    x = np.array([v for _, v in table])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    truth = set(zip(*(v.tolist() for v in np.nonzero(np.triu(x @ x.T >= 0.95, 1)))))
-    assert found <= truth and len(found) >= 0.9 * len(truth)
-
-
-
 def test_lattice_agrees_with_all_segmentations():
     surface = [None, b"a", b"b", b"ab", b"\xe2\x96\x81", b"\xe2\x96\x81a", b"ba", b"a", *(bytes([i]) for i in range(128, 256))]
     p = np.random.default_rng(1).dirichlet(np.ones(len(surface)))
