@@ -44,22 +44,30 @@ def budget(length: int) -> int:
     return max(0, min(int(RATE * length), (length - Q) // Q))
 
 
-def infix_edits(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int]:
-    """Least edit distance of ``pattern`` to any part of ``text``, and the end of the first such part.
+def band_edits(pattern: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int]:
+    """Least edit distance of ``pattern`` to any part of ``text`` along the diagonals ``low`` to ``high``, and that part's end.
 
-    Column by column over the pattern; a row of the table is one vector operation, insertions by a running minimum.
+    A diagonal is a position in the text less one in the pattern, so row i of the table has the ends i + low to i + high
+    only.  A row is one vector operation, insertions by a running minimum; k + 1 stands for more than k edits.
     """
-    n = len(text)
-    row, step = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    for i, c in enumerate(pattern.tolist()):
-        new = np.empty(n + 1, np.int64)
-        new[0] = i + 1
-        np.minimum(row[:-1] + (text != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - step) + step
+    width, n = high - low + 1, len(text)
+    step = np.arange(width)
+    at = low + step  # ends in the text
+    row = np.where((at >= 0) & (at <= n), 0, k + 1)
+    base = abs(low) + 1
+    padded = np.full(base + max(n, len(pattern) + high, 0) + 2, -1, np.int16)
+    padded[base : base + n] = text
+    for i, c in enumerate(pattern.tolist(), 1):
+        at = i + low + step
+        new = row + (padded[base + i + low - 1 : base + i + low - 1 + width] != c)  # along the diagonal
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])  # a byte of the pattern left out
+        new = np.minimum.accumulate(new - step) + step  # bytes of the text left out
+        new[(at < 0) | (at > n)] = k + 1
+        row = np.minimum(new, k + 1)
         if row.min() > k:
             return k + 1, 0
-    end = int(row.argmin())
-    return int(row[end]), end
+    spot = int(row.argmin())
+    return int(row[spot]), len(pattern) + low + spot
 
 
 class Index:
@@ -134,10 +142,12 @@ class Index:
                 k = int(self.k[w])
                 d = b * (k + 1) - (1 << 20)
                 n, x, y = self.win[w].tolist()
-                lo, hi = max(0, d - k), min(int(at[r + 1] - at[r]), d + 2 * (k + 1) + (y - x) + k)
+                # a q-gram on a diagonal of the band leaves its alignment at most k diagonals on either side
+                low, high = d - k, d + 2 * (k + 1) - 1 + k
+                lo, hi = max(0, low), min(int(at[r + 1] - at[r]), high + (y - x))
                 pattern, part = self.text[n][x:y], raw[at[r] + lo : at[r] + hi]
                 spot = part.tobytes().find(pattern.tobytes())  # most copies are verbatim
-                edits, end = (0, spot + y - x) if spot >= 0 else infix_edits(pattern, part, k)
+                edits, end = (0, spot + y - x) if spot >= 0 else band_edits(pattern, part, low - lo, high - lo, k)
                 if edits <= k:
                     yield r, w, max(0, lo + end - (y - x) - edits), lo + end, edits
         for w in self.short:
@@ -146,13 +156,18 @@ class Index:
             spot = whole.find(what)
             while spot >= 0:
                 r = int(np.searchsorted(at, spot, side="right")) - 1
-                if spot + len(what) <= at[r + 1]:
-                    yield r, w, int(spot - at[r]), int(spot - at[r]) + len(what), 0
+                end = spot + len(what)
+                # as a word of its own: no letter, digit or byte of a longer character next to it
+                if end <= at[r + 1] and not (spot > at[r] and _WORD[whole[spot - 1]] and _WORD[what[0]]) and not (end < at[r + 1] and _WORD[whole[end]] and _WORD[what[-1]]):
+                    yield r, w, int(spot - at[r]), int(end - at[r]), 0
                     spot = whole.find(what, int(at[r + 1]))
                 else:
                     spot = whole.find(what, spot + 1)
 
 
+_WORD = np.array([chr(i).isalnum() or i >= 128 for i in range(256)])
+
+
 def _grams(raw: np.ndarray) -> np.ndarray:
     """The Q bytes that start at each position, as one number."""
     if len(raw) < Q:
@@ -187,9 +202,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, most: int = CHUNK_B
 
     start and stop are bytes of the normalised text and span all matching windows of the item; edits is the least of
     theirs.  A benchmark that is larger than ``most`` bytes is taken in parts, one pass over the documents each.
-    Null or empty documents and passages match nothing; a passage shorter than 8 bytes must occur exactly.  Repeated
-    items count once; null and repeated ids of documents are kept, a result row for each.  Empty table: empty result.
-    Columns other than the ids and texts are not read.
+    Null or empty documents and passages match nothing; very long ones are searched whole, a long passage by each of its
+    windows.  A passage shorter than 8 bytes must occur exactly and as a word or words of its own.  Ties: of equally
+    good places of a window the first in its band counts; items of equal id and text count once, those of equal text and
+    another id each.  Null and repeated ids of documents are kept, a result row for each.  Empty table: empty result.
+    Columns other than the ids and texts are not read, whatever their names.
     """
     schema = "doc_id bigint, item_id bigint, start bigint, stop bigint, windows bigint, edits bigint"
 

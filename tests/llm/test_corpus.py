@@ -62,9 +62,9 @@ def as_sql(df, result, sql: str) -> None:
 
 
 
-@pytest.mark.parametrize("size", [1000, 20_000, 1 << 26])
-def test_shards_agree_with_sql(odd, size):
-    as_sql(odd, sharding.histogram_sort(odd, shard_bytes=size), sharding.sql(size))
+@pytest.mark.parametrize("size, least", [(1000, 1), (20_000, 16), (1 << 26, 1), (1 << 26, 3)])
+def test_shards_agree_with_sql(odd, size, least):
+    as_sql(odd, sharding.histogram_sort(odd, shard_bytes=size, least=least), sharding.sql(size, least))
 
 
 def test_shards_keep_columns_and_ties(wide, nothing, spark):
@@ -78,22 +78,27 @@ def test_shards_keep_columns_and_ties(wide, nothing, spark):
 
 def test_shards_are_partitions_in_order(spark):
     docs = spark.createDataFrame([(i * 7 % 1000, "t" * (i % 50)) for i in range(1000)], "doc_id bigint, text string")
-    parts = sharding.histogram_sort(docs, shard_bytes=3000).rdd.glom().map(lambda p: [(r.shard, r.doc_id) for r in p]).collect()
+    parts = sharding.histogram_sort(docs, shard_bytes=3000, least=1).rdd.glom().map(lambda p: [(r.shard, r.doc_id) for r in p]).collect()
     for number, part in enumerate(parts):
         assert all(s == number for s, _ in part) and part == sorted(part)
     assert [d for p in parts for _, d in p] == sorted(range(1000))
 
 
-def test_splitters_with_tolerance(spark):
+@pytest.mark.parametrize("probes", [1, 16])
+def test_splitters_are_the_least_keys_that_reach_their_goals(spark, probes):
     rng = np.random.default_rng(1)
-    keys, n = np.sort(rng.integers(-(1 << 62), 1 << 62, 3000)), rng.integers(1, 100, 3000)
+    keys, n = np.sort(rng.integers(-(1 << 62), 1 << 62, 3000)), rng.integers(0, 100, 3000)
+    keys[:3], keys[-1] = -(1 << 63), (1 << 63) - 1
+    n[1000] = 40_000  # one key that several goals meet
     sizes = spark.createDataFrame(list(zip(keys.tolist(), n.tolist())), "k bigint, n bigint")
-    for tolerance in (0.0, 0.2):
-        ends = sharding.splitters(sizes, 8, int(n.sum()), tolerance=tolerance)
-        upto = np.array([n[keys <= e].sum() for e in ends])
-        goal = n.sum() * np.arange(1, 8) / 8
-        assert (upto >= goal).all() and (upto - goal <= max(100, tolerance * n.sum() / 8 + 100)).all()
-
+    total, upto = int(n.sum()), np.cumsum(n)
+    goal = np.array([-(-j * total // 37) for j in range(1, 37)])
+    truth = keys[np.searchsorted(upto, goal, side="left")]
+    assert sharding.splitters(sizes, goal, probes=probes)[0].tolist() == truth.tolist()
+    assert sharding.shard_ends(sizes, 37, total).tolist() == truth.tolist()
+    ends, reached = sharding.splitters(sizes, goal, slack=500, probes=probes)
+    assert (reached >= goal).all() and (reached[ends != truth] - goal[ends != truth] <= 500).all()
+    assert reached.tolist() == [int(n[keys <= e].sum()) for e in ends]
 
 
 def shingle_set(text: str | None) -> frozenset:
@@ -369,14 +374,40 @@ def test_leaks_agree_with_brute_force(spark):
             text[at : at + 1] = rng.choice([[], ["q"], [text[at], "z"]])
         part = "".join(text)[: rng.choice([40, 90, 1000])]
         docs.append((n, f"{prose(n, 10)} {part.upper() if n % 4 == 0 else part}\n{prose(99 + n, 5)}"))
-    docs += [(90, "a tiny thing"), (91, "fifteen  letters"), (92, ""), (93, None)]
+    docs += [(90, "a tiny thing"), (91, "fifteen  letters"), (92, ""), (93, None), (94, "tiny"), (95, "(tiny)")]
     got = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
     truth = brute_leaks([(d, t) for d, t in docs if t], items)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == truth and len(truth) > 15
 
 
+def test_short_passages_must_be_words(spark):
+    docs = spark.createDataFrame([(1, "tinyest"), (2, "a destiny"), (3, "so Tiny, so"), (4, "étiny"), (5, "destiny and tiny")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "tiny")], "item_id bigint, text string")
+    assert rows(decontaminate.contaminations(docs, items)) == [(3, 1, 3, 7, 1, 0), (5, 1, 12, 16, 1, 0)]
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, items).collect()} == {1, 2, 4}
+
+
+def test_banded_alignment_agrees_with_the_whole_table():
+    rng = random.Random(2)
+    for _ in range(300):
+        pattern, text = ("".join(rng.choice("ab") for _ in range(rng.randrange(1, n))) for n in (9, 25))
+        low = rng.randrange(-6, 20)
+        high = low + rng.randrange(0, 8)
+        table = [[0 if low <= j <= high else 99 for j in range(len(text) + 1)]]
+        for i, c in enumerate(pattern, 1):
+            last, new = table[-1], []
+            for j in range(len(text) + 1):
+                best = min(last[j] + 1, last[j - 1] + (c != text[j - 1]) if j else 99, new[-1] + 1 if j else 99)
+                new.append(best if low <= j - i <= high else 99)
+            table.append(new)
+        least = min(table[-1])
+        for k in (0, 2, 5):
+            edits, end = decontaminate.band_edits(np.frombuffer(pattern.encode(), np.uint8), np.frombuffer(text.encode(), np.uint8), low, high, k)
+            assert edits == min(least, k + 1) and (edits > k or table[-1][end] == edits)
+
+
 def test_leaks_of_odd_rows(spark, odd, wide, nothing):
-    bench = spark.createDataFrame([(1, prose(1, 120)), (1, prose(1, 120)), (None, prose(3, 9000)[5000:5300]), (2, None)], "item_id bigint, text string")
+    bench = spark.createDataFrame([(1, prose(1, 120)), (1, prose(1, 120)), (None, prose(3, 9000)), (2, None)], "item_id bigint, text string")
     got = rows(decontaminate.contaminations(odd, bench).select("doc_id", "item_id"))
     assert got == rows(decontaminate.contaminations(wide, bench).select("doc_id", "item_id")) == sorted([(1, 1), (2, 1), (2, 1), (3, 1), (9, None)], key=repr)
     assert rows(decontaminate.contaminations(odd, bench, most=100).select("doc_id", "item_id")) == got
