@@ -28,7 +28,10 @@ _INVERSE = pow(_ODD, -1, 1 << 64)
 
 
 def suffix_array(text: list[int]) -> list[int]:
-    """The suffix array of a list of whole numbers whose last one is its unique least.
+    """The suffix array of a list of whole numbers, 0 or more and below 2**32, whose last one is its unique least.
+
+    The time is linear: the first grouping takes two counting passes, every pointer is set once and followed a bounded
+    number of times on average, and the members of a group are taken in any order.
 
     First the suffixes are grouped by their first symbol.  Groups are processed in descending order: every suffix of
     the group gets its previous-smaller pointer (the last position before it that is in a lower group), and the
@@ -37,8 +40,10 @@ def suffix_array(text: list[int]) -> list[int]:
     predecessor of each emitted one, and on along its pointers, takes the next place in its group.
     """
     n = len(text)
-    order = np.argsort(np.asarray(text, np.int64), kind="stable")
-    value = np.asarray(text, np.int64)[order]
+    symbol = np.asarray(text, np.int64)
+    order = np.argsort((symbol & 0xFFFF).astype(np.uint16), kind="stable")  # a counting sort for 16-bit numbers
+    order = order[np.argsort((symbol[order] >> 16).astype(np.uint16), kind="stable")]
+    value = symbol[order]
     begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
     size = np.zeros(n, np.int64)
     size[begin] = np.diff(np.r_[begin, n])
@@ -47,7 +52,8 @@ def suffix_array(text: list[int]) -> list[int]:
     at = np.empty(n, np.int64)
     at[order] = np.arange(n)
     sa, size, group, at = order.tolist(), size.tolist(), group.tolist(), at.tolist()
-    prev = [-1] * n
+    unset = -2
+    prev = [unset] * n
     end = n - 1
     while end >= 0:
         g = group[sa[end]]
@@ -69,13 +75,21 @@ def suffix_array(text: list[int]) -> list[int]:
             end = g - 1
             continue
         count: dict[int, int] = {}
-        for s in sorted(sa[g : end + 1]):
-            j = s - 1
-            while j >= 0 and group[j] >= g:
-                j = prev[j]
-            prev[s] = j
-            if j >= 0:
-                count[j] = count.get(j, 0) + 1
+        for s in sa[g : end + 1]:
+            path = [s] if prev[s] == unset else []
+            while path:
+                s = path[-1]
+                j = s - 1
+                while j >= 0 and group[j] >= g:
+                    if prev[j] == unset:  # of this group, its turn comes later: it goes first
+                        path.append(j)
+                        break
+                    j = prev[j]
+                else:
+                    prev[s] = j
+                    path.pop()
+                    if j >= 0:
+                        count[j] = count.get(j, 0) + 1
         end = g - 1
         by_count: dict[int, list[int]] = {}
         for j, c in count.items():
@@ -205,8 +219,9 @@ def repeated_passages(docs: DataFrame, *, length: int = LENGTH, shingle: int = S
 
     Every occurrence is reported, the first one included.  Documents are told apart by (doc_id, text): rows that
     repeat both are one document, copies under other ids are several.  Null or empty texts and those of fewer than
-    ``length`` words: no row.  Null id: reported with a null id.  Empty table: empty result.  Columns other than
-    ``doc_id`` and ``text`` are not read.
+    ``length`` words: no row; very long texts are searched whole.  Null id: reported with a null id.  Ties: among equal
+    windows none is preferred, all are reported.  Empty table: empty result.  Columns other than ``doc_id`` and ``text``
+    are not read, whatever their names.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
