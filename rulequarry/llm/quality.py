@@ -92,7 +92,7 @@ def _grams(text: np.ndarray, n: int) -> np.ndarray:
     return np.unique(code)
 
 
-def _telling(raw: np.ndarray, at: np.ndarray, y: np.ndarray, n: int, count: int, covered: np.ndarray, most: int = 50_000) -> list[int]:
+def _telling(raw: np.ndarray, at: np.ndarray, y: np.ndarray, n: int, count: int, covered: np.ndarray) -> list[int]:
     """Byte n-grams (as numbers) chosen one by one: each marks most rejected documents that few before it mark.
 
     ``covered``: by how many n-grams each rejected document is marked already; it is counted on.
@@ -100,8 +100,7 @@ def _telling(raw: np.ndarray, at: np.ndarray, y: np.ndarray, n: int, count: int,
     bad = np.flatnonzero(y == 0)
     own = [_grams(raw[at[r] : at[r + 1]], n) for r in bad]
     grams, hits = np.unique(np.concatenate(own), return_counts=True)
-    top = np.argsort(-hits, kind="stable")[:most]
-    grams = np.sort(grams[top[hits[top] >= 3]])
+    grams = grams[hits >= 3]
     if not len(grams):
         return []
 
@@ -149,7 +148,7 @@ def fit(texts: pa.Array, y: np.ndarray, *, epochs: int = EPOCHS, rate: float = R
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     step = 0
     size = np.diff(at)
-    epochs = max(epochs, -(-STEPS * 128 // len(y)))  # a small sample is seen more often
+    epochs = max(epochs, -(-STEPS // -(-len(y) // 128)))  # a small sample is seen more often
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for i in range(0, len(order), 128):
@@ -193,8 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_by
     """Fit on at most ``sample`` labelled documents of ``docs`` and at most ``sample_bytes`` of their text (both bounds documented parameters).
 
     The sample is drawn by the hash of the id.  A document is one to keep if its quality is 1 and it is not toxic;
-    labels without quality are left out, a null ``toxic`` counts as 0.  Whole texts are used, never parts of them:
-    a text that doesn't fit into what is left of ``sample_bytes`` is skipped.
+    labels without quality are left out, a null ``toxic`` counts as 0; of several labels of one id the least counts.
+    Whole texts are used for fitting, never parts of them: a text of more than 1/16 of ``sample_bytes``, or one that
+    doesn't fit into what is left of them, is skipped, and the next one is tried.
     """
     good = F.when((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 1).otherwise(0)
     marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.min(good).alias("y"))
@@ -205,9 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_by
     got: dict[str, list] = {"text": [], "y": []}
     table = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
     for r in table.toLocalIterator():
-        left -= len(r.text.encode())
-        if left < 0:
-            break
+        size = len(r.text.encode())
+        if size > left:
+            continue
+        left -= size
         got["text"].append(r.text)
         got["y"].append(r.y)
     return fit(pa.array(got["text"], pa.string()), np.array(got["y"], np.float32))
@@ -236,9 +237,11 @@ def score(docs: DataFrame, net: ByteConvNet) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, quality_p, keep) of every row of ``docs``; ``keep`` is quality_p >= threshold.
+    """(doc_id, quality_p, keep) of every row of ``docs``; ``keep`` is quality_p >= threshold, so a tie is kept.
 
-    Null, repeated and clashing rows: one result row each.  No usable label: every probability is 1/2, all are kept.
+    Null texts count as empty ones; very long texts are scored whole.  Null and repeated ids and rows: one result row
+    each.  No usable label: every probability is 1/2, all are kept.  Empty table: empty result.  Columns other than
+    ``doc_id`` and ``text`` are not read, whatever their names.
     """
     scored = score(docs.select("doc_id", "text"), train(docs, labels, sample=sample))
     return scored.select("doc_id", F.round("quality_p", 6).alias("quality_p"), (F.col("quality_p") >= threshold).alias("keep"))
