@@ -26,7 +26,7 @@ def pareto_mix(docs: DataFrame, *, weights: dict[str, int] | None = None, total:
 
     Result: with ``expand`` every column of ``docs``, each drawn row as often as it was drawn; without, the columns
     ``doc_id, source, copies``.  Null source: a source of its own (weighted only if ``weights`` is None).  Null or
-    empty text: size 1.  Null ids are allowed.  Repeated rows are drawn independently of each other as far as the
+    empty text: size 1; a very long one has the size of all its bytes.  Null ids are allowed.  Repeated rows are drawn independently of each other as far as the
     ranks differ; among fully equal rows with equal rank any may be taken, which cannot be told apart in the result.
     Empty table: empty result.  Other columns are carried and may have any name.
     """

@@ -214,16 +214,12 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_by
     return fit(pa.array(got["text"], pa.string()), np.array(got["y"], np.float32))
 
 
-def score(docs: DataFrame, net: ByteConvNet) -> DataFrame:
-    """``docs`` with a column ``quality_p``: the probability that a document is worth keeping.
-
-    Only the text goes to Python.  Null and empty texts get the probability that the network gives to no evidence.
-    All columns are kept, whatever their names; one that is called ``quality_p`` is replaced.
-    """
+def probability(net: ByteConvNet):
+    """A function of a text column: the probability that a document is worth keeping; null and empty texts get that of no evidence."""
     weights = (net.w, net.b, net.v, net.c)
 
     @F.pandas_udf("double")
-    def probability(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = ByteConvNet(*weights)
         tables = own._tables()
         for text in columns:
@@ -233,7 +229,7 @@ def score(docs: DataFrame, net: ByteConvNet) -> DataFrame:
                 out[a:b] = own.predict(*flat(column[a:b]), tables=tables)
             yield pd.Series(out)
 
-    return docs.drop("quality_p").withColumn("quality_p", probability("text"))
+    return run
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
@@ -243,8 +239,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, thresh
     each.  No usable label: every probability is 1/2, all are kept.  Empty table: empty result.  Columns other than
     ``doc_id`` and ``text`` are not read, whatever their names.
     """
-    scored = score(docs.select("doc_id", "text"), train(docs, labels, sample=sample))
-    return scored.select("doc_id", F.round("quality_p", 6).alias("quality_p"), (F.col("quality_p") >= threshold).alias("keep"))
+    net = train(docs, labels, sample=sample)
+    return docs.select("doc_id", probability(net)("text").alias("quality_p")).select("doc_id", F.round("quality_p", 6).alias("quality_p"), (F.col("quality_p") >= threshold).alias("keep"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,8 @@ def token_counts(docs: DataFrame, *, vocabulary: str = VOCABULARY, eod: int = EO
     """(doc_id, n_tokens) of every row, by way of flat token files that are scanned for separators.
 
     Null or empty text: 0 tokens.  Repeated rows and ids: a row each.  Null id: kept.  Empty table: empty result.
-    Columns other than ``doc_id`` and ``text`` are not read.
+    Very long texts are encoded whole, whatever the block size.  Columns other than ``doc_id`` and ``text`` are not read,
+    whatever their names.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
