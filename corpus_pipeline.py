@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rulequarry.llm import decontaminate, jaccard, mixing, quality, sharding
 from rulequarry.llm._common import read, shared_dir, stored
@@ -25,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     label: all stay.  Repeated rows share their fate.
     """
     net = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, net).where(F.col("quality_p") >= 0.5).drop("quality_p")
+    return docs.where(quality.probability(net)("text") >= 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
