@@ -69,8 +69,6 @@ def grid(low: Sequence[float], high: Sequence[float], n: int, spark) -> DataFram
     return df
 
 
-# --- chains -----------------------------------------------------------------------------------------------------
-
 Frequencies = dict[tuple[frozenset, str], tuple[int, int, int]]
 
 

@@ -155,9 +155,6 @@ def event_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.mine(t, transactions.is_class(prefix="spend="), most=1).select("x", "y", "fx", "fy", "fz")
 
 
-# --- measures ---------------------------------------------------------------------------------------------------
-
-
 @query("WITH " + RULES + ", " + measures_sql(0.0) + " SELECT rule_id, " + round_sql(ALL) + " FROM m")
 def measures_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(spark, sf_dir, 0.0).select("rule_id", *(r6(c).alias(c) for c in ALL))

@@ -76,19 +76,6 @@ def mmas_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.mmas(found, n).select("a", "b", r6("uncertainty").alias("uncertainty"))
 
 
-# --- formats ----------------------------------------------------------------------------------------------------
-
-
-@query("SELECT p_partkey AS k, array_to_string(list_filter([CASE WHEN p_size > 25 THEN '1' END, CASE WHEN p_retailprice > 1000 THEN '2' END, CASE WHEN p_brand < 'Brand#3' THEN '3' END, (3 + (SELECT count(DISTINCT q.p_type) FROM part q WHERE q.p_type <= part.p_type))::VARCHAR], lambda x: x IS NOT NULL), ' ') AS line FROM part")
-def encode_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags and a class column as lines of column numbers."""
-    part = table(spark, sf_dir, "part")
-    flags = part.select("p_partkey", (F.col("p_size") > 25).cast("int").alias("large"), (F.col("p_retailprice") > 1000).cast("int").alias("dear"), (F.col("p_brand") < "Brand#3").cast("int").alias("early"), F.col("p_type").alias("class"))
-    values = [r[0] for r in flags.select("class").distinct().orderBy("class").collect()]  # one row per class
-    columns = ["large", "dear", "early"]
-    items = [F.when(F.col(c) != 0, F.lit(str(i))) for i, c in enumerate(columns, 1)] + [F.when(F.col("class") == v, F.lit(str(len(columns) + i))) for i, v in enumerate(values, 1)]
-    return flags.select(F.col("p_partkey").alias("k"), F.array_join(F.array_compact(F.array(*items)), " ").alias("line"))
-
 
 @query("WITH " + RULES + " SELECT '{' || x || '}' AS antecedent, '{' || y || '}' AS consequent, fx AS \"freqX\", fy AS \"freqY\", fz AS \"freqZ\" FROM r")
 def mined_rules_csv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,8 +112,6 @@ def preference_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.preference_table(answers, vectors, 1e-6).select(F.col("a").cast("bigint"), F.col("b").cast("bigint"), "delta")
 
 
-# --- evaluation -------------------------------------------------------------------------------------------------
-
 RANKED = SCORED + ", k AS (SELECT rule_id, y, fz, a, o, row_number() OVER (PARTITION BY y ORDER BY a DESC, rule_id) AS ra, row_number() OVER (PARTITION BY y ORDER BY o DESC, rule_id) AS ro, count(*) OVER (PARTITION BY y) AS n FROM s)"
 
 
@@ -255,9 +253,6 @@ def average_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(spark, sf_dir).groupBy("y").agg(F.avg(F.length("x").cast("double")).alias("m")).agg(F.round(F.avg("m"), 6).alias("average"))
 
 
-# --- learning ---------------------------------------------------------------------------------------------------
-
-
 def _pool(spark: SparkSession, sf_dir: str, n: int = 40) -> list[tuple[str, np.ndarray, float]]:
     names = ["confidence", "cosine", "support", "kruskal", "revsup"]
     rows = measured(spark, sf_dir).select("rule_id", *names, "phi").orderBy("rule_id").limit(n).collect()  # n rows

@@ -80,8 +80,6 @@ def norm_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).agg(s["count"].alias("n"), F.round(s["sum"], 2).alias("s"), F.round(s["sum_sq"], 2).alias("ss"), s["min"].alias("lo"), s["max"].alias("hi"), s["digits"].cast("bigint").alias("digits"), F.round(s["std"], 6).alias("std"))
 
 
-# --- scores -----------------------------------------------------------------------------------------------------
-
 WEIGHTS = [0.4, 0.3, 0.15, 0.1, 0.05]
 LEX = scores.lexmin_weights(5, 0.01)
 # a 2-additive capacity: masses of singles and of two pairs, one of them negative
@@ -199,8 +197,6 @@ def score_class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(spark, sf_dir).select("rule_id", r6(scores.share_of_class()).alias("g"))
 
 
-# --- certainties ------------------------------------------------------------------------------------------------
-
 PAIRS = SCORED + ", p AS (SELECT l.rule_id AS a, q.rule_id AS b, l.a AS s0, q.a AS s1 FROM s l JOIN s q ON l.rule_id < q.rule_id)"
 CDF = """(CASE WHEN {x} >= 0 THEN 1 - {t} ELSE {t} END)"""
 
@@ -253,9 +249,6 @@ def adaptive_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(61).select(F.col("id").alias("t"), r6(certainty.adaptive_threshold(F.col("id").cast("double"), 50.0)).alias("threshold"))
 
 
-# --- distributions ----------------------------------------------------------------------------------------------
-
-
 @query("SELECT event_type, round(count(*)::DOUBLE / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY event_type")
 def value_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probability.shares(table(spark, sf_dir, "events"), "event_type").select("event_type", F.round("share", 6).alias("share"))

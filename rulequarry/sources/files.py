@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,20 @@ def _tokens(line: Column) -> Column:
     return F.filter(F.split(F.trim(line), r"[,\s]+"), lambda t: t != "")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder below the session's ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark is one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="rulequarry-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def read_dat(spark: SparkSession, path: str) -> DataFrame:
     """(tid, items) of a transaction file: one row per line, items separated by commas or white space, blank lines skipped.
 
@@ -26,16 +42,16 @@ def write_dat(df: DataFrame, path: str, items: str = "items") -> None:
     df.select(F.array_join(items, " ").alias("value")).write.mode("overwrite").text(path)
 
 
-def encode_onehot(df: DataFrame, label: str) -> DataFrame:
+def encode_onehot(df: DataFrame, label: str, keep: Sequence[str] = ()) -> DataFrame:
     """(items) of a table of 0/1 columns and a class column: numbers of the columns that are set, from 1.
 
-    Class values become columns of their own, in order, behind all others.
+    Class values become columns of their own, in order, behind all others.  Columns of ``keep`` are carried in front.
     """
-    columns = [c for c in df.columns if c != label]
+    columns = [c for c in df.columns if c != label and c not in keep]
     values = sorted(r[0] for r in df.select(F.col(label).cast("string")).distinct().where(f"`{label}` is not null").collect())  # one row per class
     flags = [F.when(F.col(f"`{c}`").cast("double") != 0, F.lit(str(i))) for i, c in enumerate(columns, 1)]
     flags += [F.when(F.col(f"`{label}`").cast("string") == v, F.lit(str(len(columns) + i))) for i, v in enumerate(values, 1)]
-    return df.select(F.array_compact(F.array(*flags)).alias("items"))
+    return df.select(*(F.col(f"`{c}`") for c in keep), F.array_compact(F.array(*flags)).alias("items"))
 
 
 def encoding_map(df: DataFrame, label: str) -> DataFrame:
@@ -116,6 +132,21 @@ def read_preferences_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def write_preferences_json(alternatives: DataFrame, preferences: DataFrame, path: str, *, delta: float = 0.0, additivity: int = 2, approach: str = "gls", digits: int = 3) -> None:
+    """One JSON object: alternatives (id, v) in order of their ids, and preferences (winner, loser) by 1-based position.
+
+    Both tables are what one person has compared, so one task takes them.
+    """
+    ordered = alternatives.agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("a"))
+    pairs = preferences.agg(F.array_sort(F.collect_list(F.struct("winner", "loser"))).alias("p"))
+    place = lambda key: F.array_position(F.transform("a", lambda x: x["id"]), key).cast("double")
+    out = ordered.crossJoin(pairs).select(  # one row each
+        F.transform("a", lambda x: x["v"]).alias("alternatives"),
+        F.transform("p", lambda x: F.array(place(x["winner"]), place(x["loser"]), F.lit(float(delta)))).alias("preferences"),
+        F.lit(additivity).alias("kAdditivity"), F.lit(approach).alias("approachType"), F.lit(digits).alias("significantFigures"))
+    out.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 LOG_KEYS = ("dataset", "fold", "algorithm", "oracle", "iteration")
 
 
@@ -147,3 +178,13 @@ def write_sample(rules: DataFrame, measures: Sequence[str], score: str, path: st
     from ..operators.rules import text
 
     rules.select(text().alias("Rule"), *measures, F.col(score).alias("scoreApprox")).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
+def read_sample(spark: SparkSession, path: str, measures: Sequence[str]) -> DataFrame:
+    """(Rule, measures, scoreApprox) of a sampler's log; fields are counted from the right, as rules may hold commas."""
+    k = len(measures) + 1
+    part = F.split("value", ",")
+    lines = spark.read.text(path).select(part.alias("p")).where((F.size("p") > k) & (F.element_at("p", -1) != "scoreApprox"))
+    rule = F.array_join(F.slice("p", 1, F.size("p") - k), ",")
+    values = [F.element_at("p", i - k).cast("double").alias(name) for i, name in enumerate([*measures, "scoreApprox"])]
+    return lines.select(F.regexp_replace(rule, '^"|"$', "").alias("Rule"), *values)
