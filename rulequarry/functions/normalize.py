@@ -55,9 +55,7 @@ def normalize(df: DataFrame, columns: Sequence[str], method: str, *, exact: bool
         raise ValueError(f"unknown normalization {method!r}")
     if method == "EMPIRICAL_CDF":
         if exact:
-            for c in columns:
-                df = _exact_cdf(df, c)
-            return df
+            return _exact_cdf(df, columns)
         sketch = df.agg(*(F.kll_sketch_agg_double(F.col(c)).alias(f"__{c}") for c in columns))
         share = [i / 256 for i in range(257)]
         marks = sketch.select(*(F.kll_sketch_get_quantile_double(f"__{c}", F.array(*map(F.lit, share))).alias(f"__{c}") for c in columns))
@@ -70,19 +68,27 @@ def normalize(df: DataFrame, columns: Sequence[str], method: str, *, exact: bool
     return out.withColumns({c: expression(method, F.col(c), {k: F.col(f"__{c}_{k}") for k in names}) for c in columns}).select(*df.columns)
 
 
-def _exact_cdf(df: DataFrame, c: str, parts: int = 256) -> DataFrame:
-    """cume_dist without a window over all rows: ranks inside stretches of the value range, plus the rows before the stretch."""
-    names = df.columns
-    bounds = df.agg(F.percentile_approx(c, [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"]
-    bounds = sorted(set(bounds or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(c))) if bounds else F.lit(0)
-    df = df.withColumn("__s", F.when(F.col(c).isNotNull(), bucket))
-    sizes = df.groupBy(F.col("__s").alias("__t")).agg(F.count("*").alias("__n"))  # a row per stretch
-    upto = F.sum(F.when(F.col("__t").isNotNull(), F.col("__n"))).over(Window.orderBy(F.col("__t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("__t", F.coalesce(upto, F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    df = df.join(F.broadcast(sizes), F.col("__s").eqNullSafe(F.col("__t")))  # parts + 1 rows
-    inside = F.count(F.col(c)).over(Window.partitionBy("__s").orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("__r", (F.col("__before") + inside) / F.col("__all")).withColumn(c, F.when(F.col(c).isNotNull(), F.col("__r"))).select(*names)
+def _exact_cdf(df: DataFrame, columns: Sequence[str], parts: int = 256) -> DataFrame:
+    """cume_dist of every column without a window over all rows.
+
+    Rows are counted by value; the counts are summed up inside stretches of the value range, whose bounds one pass over
+    the rows gives for all columns, and the sums go back to the rows by value.  A column of few values needs few counts.
+    """
+    names, rows = df.columns, df
+    share = [i / parts for i in range(1, parts)]
+    marks = rows.agg(*(F.percentile_approx(c, share, 1000).alias(f"__{i}") for i, c in enumerate(columns))).first()
+    for i, c in enumerate(columns):
+        bounds = sorted(set(marks[i] or []))
+        stretch = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("__v"))) if bounds else F.lit(0)  # noqa: B023
+        counts = rows.groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("__n")).withColumn("__s", F.when(F.col("__v").isNotNull(), stretch))
+        sizes = counts.groupBy(F.col("__s").alias("__t")).agg(F.sum("__n").alias("__m"))  # a row per stretch
+        upto = F.sum(F.when(F.col("__t").isNotNull(), F.col("__m"))).over(Window.orderBy(F.col("__t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+        sizes = sizes.select("__t", F.coalesce(upto, F.lit(0)).alias("__before"), F.sum("__m").over(Window.partitionBy()).alias("__all"))
+        inside = F.sum("__n").over(Window.partitionBy("__s").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+        ranks = counts.where("__v is not null").join(F.broadcast(sizes), F.col("__s") == F.col("__t"))  # parts + 1 rows
+        ranks = ranks.select("__v", ((F.col("__before") + inside) / F.col("__all")).alias("__r"))
+        df = df.join(ranks, F.col(c) == F.col("__v"), "left").withColumn(c, F.col("__r")).select(*names)
+    return df
 
 
 def running(df: DataFrame, columns: Sequence[str], method: str, order: Sequence[str], partition: Sequence[str] = ()) -> DataFrame:

@@ -68,10 +68,18 @@ def contains_all(items: Column | str, wanted: Sequence[str] | Column) -> Column:
 
 
 def itemset_covers(sets: DataFrame, tx: DataFrame) -> DataFrame:
-    """Cover rows (set_id, tid) of item sets (set_id, items): the transactions that hold every item of a set."""
-    long = sets.select("set_id", F.size(F.array_distinct("items")).alias("k"), F.explode(F.array_distinct("items")).alias("item"))
-    hits = tx.join(long, "item").groupBy("set_id", "tid", "k").agg(F.count("*").alias("c"))
-    return hits.where("c = k").select("set_id", "tid")
+    """Cover rows (set_id, tid) of item sets (set_id, items): the transactions that hold every item of a set.
+
+    A set meets the baskets that hold its rarest item, and only these are looked through: an item that most
+    transactions have costs nothing where a rarer one stands beside it.
+    """
+    held = baskets(tx)
+    known = sets.select("set_id", F.array_distinct("items").alias("wanted"))
+    frequency = held.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("f"))
+    rarest = known.select("set_id", "wanted", F.explode("wanted").alias("item")).join(frequency, "item", "left")
+    rarest = rarest.groupBy("set_id", "wanted").agg(F.min_by("item", F.struct(F.coalesce("f", F.lit(0)), "item")).alias("item"))
+    near = held.select("tid", "items", F.explode("items").alias("item")).join(rarest, "item")
+    return near.where(F.size(F.array_except("wanted", "items")) == 0).select("set_id", "tid")
 
 
 def cover_sizes(sets: DataFrame, tx: DataFrame) -> DataFrame:

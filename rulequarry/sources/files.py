@@ -107,13 +107,11 @@ def with_frequencies(rules: DataFrame, tx: DataFrame) -> DataFrame:
     """Rules (x, y) with fx, fy, fz counted on transactions."""
     from ..operators.transactions import cover_sizes
 
-    named = rules.select("x", "y").distinct()
-    parts = named.select(F.concat(F.lit("x:"), "x").alias("set_id"), F.split("x", ";").alias("items"))
-    parts = parts.union(named.select(F.concat(F.lit("y:"), "y"), F.array("y"))).union(named.select(F.concat(F.lit("z:"), "x", F.lit("=>"), "y"), F.concat(F.split("x", ";"), F.array("y")))).distinct()
-    sizes = cover_sizes(parts, tx)
-    out = named
-    for key, name in ((F.concat(F.lit("x:"), "x"), "fx"), (F.concat(F.lit("y:"), "y"), "fy"), (F.concat(F.lit("z:"), "x", F.lit("=>"), "y"), "fz")):
-        out = out.withColumn("set_id", key).join(sizes.withColumnRenamed("f", name), "set_id").drop("set_id")
+    antecedent = F.split("x", ";")
+    sides = (("fx", F.concat(F.lit("x:"), "x"), antecedent), ("fy", F.concat(F.lit("y:"), "y"), F.array("y")), ("fz", F.concat(F.lit("z:"), "x", F.lit("=>"), "y"), F.concat(antecedent, F.array("y"))))
+    named = rules.select("x", "y").distinct().select("x", "y", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), i.alias("set_id"), items.alias("items")) for k, i, items in sides))).alias("s")).select("x", "y", "s.*")
+    sizes = cover_sizes(named.select("set_id", "items").distinct(), tx)
+    out = named.join(sizes, "set_id").groupBy("x", "y").agg(*(F.max(F.when(F.col("side") == k, F.col("f"))).alias(k) for k, *_ in sides))
     return out.select(F.concat("x", F.lit("=>"), "y").alias("rule_id"), "x", "y", "fx", "fy", "fz")
 
 
