@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -280,6 +281,32 @@ def smas(rules: DataFrame, n: int, *, chains: int = 8, iterations: int = 100, k:
     return found.groupBy("x", "y").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "x", "y").limit(k)
 
 
+def random_sample(tx: DataFrame, n: int, *, draws: int = 20, chains: int = 8, most: int = 5, seconds: float | None = None, seed: str = "1", class_item: Column | None = None) -> DataFrame:
+    """Distinct random rules (x, y) of transactions, ``draws`` in each of ``chains`` tasks that run side by side.
+
+    A class is drawn uniformly and a size from 1 to ``most``; items are added in random order if the rule stays valid,
+    until the size is reached.  A chain that isn't done after ``seconds`` returns nothing.
+    """
+
+    def walk(chain: Chain) -> list[tuple]:
+        begun, out = time.monotonic(), []
+        for _ in range(draws):
+            if seconds is not None and time.monotonic() - begun > seconds:
+                return []
+            x, y, size = frozenset(), chain.random.choice(chain.classes), chain.random.randint(1, most)
+            for item in chain.random.sample(chain.antecedents, len(chain.antecedents)):
+                if len(x) == size:
+                    break
+                if chain.frequencies.get((x | {item}, y)):
+                    x = x | {item}
+            if x:
+                out.append((";".join(sorted(x)), y))
+        return out
+
+    found = _chains(tx, n, chains, seed, walk, "x string, y string", names=MEASURES, certainty="BradleyTerry", smooth=0.01, class_item=class_item)
+    return found.select("x", "y").distinct()
+
+
 def gibbs(rules: DataFrame, n: int, *, chains: int = 8, iterations: int = 50, steep: float = 1000.0, seed: str = "1", class_item: Column | None = None) -> DataFrame:
     """Unrestricted sampler: every item is redrawn with odds exp(steep * (g with - g without)); valid states are kept."""
 

@@ -64,6 +64,12 @@ def batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.smas(found, n, halve=True, seed="2").select("x", "y", r6("score").alias("score"))
 
 
+@query()
+def random_grown_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, n = _walkable(spark, sf_dir)
+    return sampling.random_sample(found, n)
+
+
 @query()
 def gibbs_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, n = _walkable(spark, sf_dir)

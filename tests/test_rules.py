@@ -259,3 +259,16 @@ def test_running_scale_over_a_stream(spark, tmp_path):
     got = {(r.u, r.t): r.scaled for r in spark.table("scaled").collect()}
     want = {(r.u, r.t): r.v for r in normalize.running(df, ["v"], "MIN_MAX_SCALING", ["t"], ["u"]).collect()}
     assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_random_sample_grows_valid_rules(spark):
+    own = {t: [i for i, m in (("a", 2), ("b", 3), ("c", 5), ("d", 7), ("e", 11), ("f", 13)) if t % m == 0] + [f"class={t % 2}"] for t in range(1, 200)}
+    tx = spark.createDataFrame([(t, i) for t, items in own.items() for i in items], "tid bigint, item string")
+    of_class = F.col("item").startswith("class=")
+    got = {(r.x, r.y) for r in sampling.random_sample(tx, len(own), class_item=of_class).collect()}
+    assert got == {(r.x, r.y) for r in sampling.random_sample(tx, len(own), class_item=of_class).collect()} and len(got) > 10
+    assert {len(x.split(";")) for x, _ in got} >= {1, 2}
+    for x, y in got:
+        fx = [t for t, items in own.items() if set(x.split(";")) <= set(items)]
+        assert 0 < len([t for t in fx if y in own[t]]) and len(fx) < len(own)
+    assert sampling.random_sample(tx, len(own), seconds=-1, class_item=of_class).count() == 0
