@@ -182,6 +182,51 @@ def test_jaccard_join_keeps_its_recall_in_large_nodes():
         assert (found & (jaccard._agree(a, b) >= near)).mean() >= 0.9975, (both, own)
 
 
+def crowd(n: int = 400) -> list[tuple]:
+    """Many different texts that are all alike, some of which are also like texts outside, and other texts."""
+    rng, base, out = random.Random(3), prose(77, 60).split(), copies(8)
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(60), 1 + i % 5):
+            w[k] = f"new{i}"
+        out.append((1000 + i, " ".join(w), "en", "a", 1))
+    half = base[:44] + prose(78, 18).split()
+    return out + [(3000 + i, " ".join([*half[:-1], f"end{i}"]), "en", "a", 1) for i in range(6)]
+
+
+def test_a_crowd_gives_few_candidates_and_all_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 150)  # several tiles
+    table = crowd()
+    docs, truth = spark.createDataFrame(table, SCHEMA), brute_pairs(table)
+    fan, runs, near = jaccard.plan(jaccard.THRESHOLD, jaccard.RECALL)
+    classes = jaccard.class_table(docs, folder := shared_dir(spark), n=3, fan=fan, runs=runs)
+    assert jaccard.candidate_pairs(classes, folder, near=near, fan=fan).count() < 20 * len(table) < len(truth)
+    found = plain(jaccard.jaccard_join(docs))
+    assert found <= truth and len(found) >= 0.999 * len(truth)
+    kept = key_set(jaccard.drop_near_duplicates(docs))
+    assert 1000 in kept and not kept & set(range(1001, 1400)) and len(kept) == len(groups_of(table, truth))
+
+
+def key_set(df) -> set:
+    return {r.doc_id for r in df.collect()}
+
+
+def groups_of(table: list[tuple], pairs: set[tuple]) -> set:
+    label = {r[0]: r[0] for r in table}
+    for _ in range(20):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return set(label.values())
+
+
+@pytest.mark.parametrize("share", [0, 1])
+def test_common_tokens_of_sets(share):
+    rng = np.random.default_rng(share)
+    sets = [np.unique(np.r_[rng.integers(0, 3000, 60), rng.integers(0, 20, 9 * share)]).astype(np.uint64) for _ in range(90)]
+    truth = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    assert (jaccard.overlaps(sets) == truth).all() and (jaccard.overlaps(sets[:30], sets[30:]) == truth[:30, 30:]).all()
+
+
 def test_jaccard_join_of_nothing(nothing):
     assert jaccard.jaccard_join(nothing).count() == 0
     assert jaccard.drop_near_duplicates(nothing).count() == 0
