@@ -207,6 +207,12 @@ def test_a_crowd_gives_few_candidates_and_all_its_pairs(spark, monkeypatch):
     assert 1000 in kept and not kept & set(range(1001, 1400)) and len(kept) == len(groups_of(table, truth))
 
 
+def test_a_document_has_one_row_with_class_and_links(spark, odd, wide, nothing):
+    two = [(1, "a b c d"), (1, "e f g h"), (2, "a b c d"), (3, "E F  G h"), (3, "e f g h"), (4, "a b"), (4, None), (5, ""), (None, "a b c d"), (None, "a b c d"), (None, "only here"), (None, " ")]
+    for docs in (odd, wide, nothing, spark.createDataFrame(crowd(90), SCHEMA), spark.createDataFrame(two, "doc_id bigint, text string")):
+        as_sql(docs, jaccard.near_duplicate_classes(docs), jaccard.class_sql())
+
+
 def key_set(df) -> set:
     return {r.doc_id for r in df.collect()}
 
