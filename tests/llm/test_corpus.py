@@ -346,6 +346,18 @@ def test_graph_search_finds_near_vectors(spark, monkeypatch, shard):
     assert len([p for p in found if 1000 <= p[0] < 2000]) >= 0.95 * len([p for p in truth if 1000 <= p[0] < 2000]) > 50
 
 
+def test_a_vector_has_one_row_with_class_and_links(spark):
+    rng = np.random.default_rng(4)
+    hot = [(2000 + i, (np.ones(16) + rng.normal(size=16) * 0.01).tolist()) for i in range(60)]
+    odd = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (None, [1.0, 0.01]), (None, [1.0, 0.0]), (9, [1.0, 0.02]), (8, [1.0, 0.0, 0.0]), (8, [0.0, 1.0, 0.0]), (7, [0.0, 1.0, 0.0])]
+    for table in (hot, odd, []):
+        df, con = spark.createDataFrame(table, "vec_id bigint, embedding array<float>"), duckdb.connect()
+        con.register("embeddings", df.toArrow())
+        got = graph.near_duplicate_classes(df)
+        assert rows(got.select("vec_id", "class_id", "links")) == sorted(con.execute(graph.CLASS_SQL).fetchall(), key=repr)
+        assert table != hot or {(r.class_id, r.links) for r in got.collect()} == {(2000, 59)}
+
+
 def test_graph_search_says_so_if_it_misses_its_recall(spark, monkeypatch):
     monkeypatch.setattr(graph, "audit", lambda *a: (1, 200))
     with pytest.raises(RuntimeError, match="audited recall"):
