@@ -13,13 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import U64, flat, pieces, read
+from ._common import PIECE, U64, flat, pieces, read
 
 Q, RATE, WINDOW, STEP = 8, 0.08, 80, 20
 CHUNK_BYTES = 8 << 20  # benchmark text that one pass over the documents holds in memory
@@ -238,19 +237,23 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, most: int = CHUNK_B
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def free_rows(index: Index, column: pa.Array) -> np.ndarray:
+    """Which texts of a column hold no window of the index; whole texts, ``PIECE`` bytes of them at a time or one longer text."""
+    out = np.ones(len(column), bool)
+    for a, b in pieces(column, PIECE, 1 << 20):
+        for r, *_ in index.matches(*flat(normalised(column[a:b]))):
+            out[a + r] = False
+    return out
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, most: int = CHUNK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage; all columns are kept.  Nulls: see ``contaminations``."""
     def free_of(part: list[tuple[int, bytes]]):
-        @F.pandas_udf("boolean")
-        def clean(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("boolean")
+        def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             index = Index(part)
-            for text in columns:
-                column = pa.array(text, pa.string(), from_pandas=True)
-                out = np.ones(len(column), bool)
-                for a, b in pieces(column, 2 << 20, 1 << 20):
-                    for r, *_ in index.matches(*flat(normalised(column[a:b]))):
-                        out[a + r] = False
-                yield pd.Series(out)
+            for column in columns:
+                yield pa.array(free_rows(index, column))
 
         return clean("text")
 

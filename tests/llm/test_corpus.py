@@ -2,13 +2,14 @@
 
 import math
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from rulequarry.llm import decontaminate, graph, jaccard, lattice, mixing, quality, secrets, sharding, suffixes, tokens
+from rulequarry.llm import _common, decontaminate, graph, jaccard, lattice, mixing, quality, secrets, sharding, suffixes, tokens
 from rulequarry.llm._common import components, flat, shared_dir, words
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -253,6 +254,22 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{i: 0 for i in range(61)}, 200: 200, 201: 200, 202: 200}
 
 
+def test_a_round_of_components_is_one_line_of_exchanges(spark, monkeypatch):
+    plans, write = [], _common.stored
+    monkeypatch.setattr(_common, "stored", lambda df, folder, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, folder, name))
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(0, i) for i in range(300, 360)]
+    found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), shared_dir(spark)).collect()}
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    joined = {x for a, b in edges if a != b for x in (a, b)}
+    assert found == {x: y for x, y in label.items() if x in joined}
+    # each scan and join is work of the driver in every round
+    assert len(plans) > 2 and all("Join" not in p and p.count("Relation ") <= 1 for p in plans[1:])
+
+
 
 def labelled(n: int, seed: int) -> tuple[list[str], np.ndarray]:
     rng, texts, y = random.Random(seed), [], []
@@ -450,6 +467,18 @@ def test_short_passages_must_be_words(spark):
     assert {r.doc_id for r in decontaminate.decontaminate(docs, items).collect()} == {1, 2, 4}
 
 
+def test_decontamination_holds_little_beside_the_texts():
+    passage = prose(5000, 40)
+    texts = [None, "", *(f"{prose(i, 300)} {passage if i % 7 == 0 else ''} {prose(900 + i, 300)}" for i in range(900)), prose(7, 60_000) + passage, passage]
+    column, index = pa.array(texts, pa.string()), decontaminate.Index([(1, decontaminate.normalised(pa.array([passage])).to_pylist()[0].encode())])
+    tracemalloc.start()
+    free = decontaminate.free_rows(index, column)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert free.tolist() == [t is None or passage not in t for t in texts] and column.nbytes > 3 << 20
+    assert most < 64 << 20  # pieces of 2 MiB would take twice as much
+
+
 def test_banded_alignment_agrees_with_the_whole_table():
     rng = random.Random(2)
     for _ in range(300):
