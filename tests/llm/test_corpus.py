@@ -641,3 +641,19 @@ def test_mixture_of_equal_rows_keeps_its_size(spark):
     docs = spark.createDataFrame([(1, "same", "en", "a", 4)] * 10 + [(2, "other text", "en", "b", 4)] * 3, SCHEMA)
     out = mixing.pareto_mix(docs, weights={"a": 1, "b": 1}, total=7)
     assert sorted(r["count"] for r in out.groupBy("source").count().collect()) == [3, 4]
+
+
+def test_graph_search_holds_little_around_a_hub():
+    n = 3000
+    x = np.random.default_rng(5).normal(size=(n, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = [np.arange(1, n)] + [np.zeros(1, np.int64)] * (n - 1)  # one vector is linked with all others
+    at = np.cumsum([0] + [len(y) for y in near]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(near)))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 64), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), vectors, lists], names=["g", "k", "x", "near"])
+    tracemalloc.start()
+    assert not list(graph._search(0.95, 16)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
