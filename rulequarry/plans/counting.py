@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures, scores
 from ..operators import mining, rules, transactions
-from .base import ALL, FIVE, MEASURED, RULES, SCORED, SMOOTH, TX, measured, measures_sql, one, query, r6, round_sql, scored, table, total, tx
+from .base import ALL, FIVE, MEASURED, RULES, SCORED, SMOOTH, TX, held, measured, measures_sql, one, query, r6, round_sql, scored, table, total, tx
 
 SETS = [("s1", ["prio=1-URGENT"]), ("s2", ["seg=BUILDING", "status=F"]), ("s3", ["prio=1-URGENT", "seg=BUILDING", "status=O"]), ("s4", ["no=such"]), ("s5", ["status=F", "status=O"])]
 SETS_SQL = "sets(set_id, items) AS (VALUES " + ", ".join(f"('{i}', [{', '.join(repr(x) for x in items)}])" for i, items in SETS) + ")"
@@ -43,7 +43,7 @@ def class_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + TX + ", " + SETS_SQL + """, i AS (SELECT set_id, len(items) AS k, unnest(items) AS item FROM sets)
 SELECT set_id, tid FROM i JOIN tx USING (item) GROUP BY set_id, tid, k HAVING count(*) = k""")
 def itemset_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions.itemset_covers(_sets(spark), tx(spark, sf_dir))
+    return transactions.itemset_covers(_sets(spark), held(spark, sf_dir))
 
 
 COVER_SIZE = "WITH " + TX + ", " + SETS_SQL + """, i AS (SELECT set_id, len(items) AS k, unnest(items) AS item FROM sets),
@@ -53,13 +53,14 @@ SELECT set_id, count(tid) AS f FROM sets LEFT JOIN c USING (set_id) GROUP BY set
 
 @query(COVER_SIZE)
 def itemset_cover_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions.cover_sizes(_sets(spark), tx(spark, sf_dir))
+    return transactions.cover_sizes(_sets(spark), held(spark, sf_dir))
 
 
 @query(COVER_SIZE)
 def itemset_cover_bitmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same sizes by AND over packed covers; order keys serve as row positions."""
-    packed = transactions.packed_covers(tx(spark, sf_dir).withColumnRenamed("tid", "pos"))
+    """The same sizes by AND over packed covers; order keys serve as row positions, and orders of one bucket meet in one task."""
+    rows = transactions.order_baskets(spark, sf_dir, F.bitmap_bucket_number("tid"))
+    packed = transactions.packed_covers(rows.select(F.col("tid").alias("pos"), F.col("block").alias("bucket"), F.explode("items").alias("item")))
     return transactions.packed_itemset_sizes(_sets(spark), packed)
 
 
@@ -76,19 +77,19 @@ def cover_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT tid FROM b WHERE list_has_all(items, ['seg=BUILDING', 'status=F'])""")
 def containment_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The naive recount of a cover: a scan over whole transactions."""
-    return transactions.baskets(tx(spark, sf_dir)).where(transactions.contains_all("items", ["seg=BUILDING", "status=F"])).select("tid")
+    return held(spark, sf_dir).where(transactions.contains_all("items", ["seg=BUILDING", "status=F"])).select("tid")
 
 
 @query("WITH " + TX + " SELECT tid, len(list(item)) AS size, string_agg(item, ';' ORDER BY item) AS items FROM tx GROUP BY tid")
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions.baskets(tx(spark, sf_dir)).select("tid", F.size("items").cast("bigint").alias("size"), F.array_join("items", ";").alias("items"))
+    return held(spark, sf_dir).select("tid", F.size("items").cast("bigint").alias("size"), F.array_join("items", ";").alias("items"))
 
 
 @query("WITH RECURSIVE " + TX + """, e AS (SELECT DISTINCT a.item AS i, b.item AS j FROM tx a JOIN tx b USING (tid)),
 c AS (SELECT item AS i, item AS root FROM freq UNION SELECT e.j, c.root FROM c JOIN e ON e.i = c.i)
 SELECT i AS item, min(root) AS component FROM c GROUP BY i""")
 def item_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions.item_components(tx(spark, sf_dir))
+    return transactions.item_components(held(spark, sf_dir))
 
 
 @query("WITH " + RULES + " SELECT rule_id, x, y, fx, fy, fz, n FROM r")

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -272,3 +273,52 @@ def test_random_sample_grows_valid_rules(spark):
         fx = [t for t, items in own.items() if set(x.split(";")) <= set(items)]
         assert 0 < len([t for t in fx if y in own[t]]) and len(fx) < len(own)
     assert sampling.random_sample(tx, len(own), seconds=-1, class_item=of_class).count() == 0
+
+
+TINY = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(TINY), reason="no test data")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@needs_data
+def test_transactions_meet_once_in_tasks_by_size(spark, monkeypatch):
+    monkeypatch.setattr(transactions, "TASK_BYTES", 8000)
+    df = transactions.order_items(spark, TINY)
+    size = sum(os.path.getsize(f"{TINY}/{t}.parquet") for t in ("lineitem", "orders"))
+    assert df.rdd.getNumPartitions() == -(-size // 8000) > 4
+    support = transactions.item_frequency(df)
+    assert plan(support).count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in plan(support).split("REPARTITION_BY_NUM")[0]
+
+
+@needs_data
+def test_packed_covers_stay_in_the_task_of_their_bucket(spark):
+    rows = transactions.order_baskets(spark, TINY, F.bitmap_bucket_number("tid"))
+    packed = transactions.packed_covers(rows.select(F.col("tid").alias("pos"), F.col("block").alias("bucket"), F.explode("items").alias("item")))
+    assert plan(packed).split("REPARTITION_BY_NUM")[0].count("Exchange") == 1  # the one by bucket
+
+
+def test_item_sets_pass_by_the_transactions(spark, small, monkeypatch):
+    sets = spark.createDataFrame([("a", ["1", "2"]), ("b", ["5", "2"]), ("c", []), ("d", ["7"]), ("e", ["1", "1"]), ("e", ["9"]), ("f", None)], "set_id string, items array<string>")
+    few = transactions.itemset_covers(sets, transactions.baskets(small))
+    assert "Join" not in plan(few)
+    rows = sorted(map(tuple, few.collect()))
+    assert rows == [("a", 0), ("a", 1), ("b", 1), ("e", 0), ("e", 1), ("e", 2), ("e", 2)]
+    sizes = sorted(map(tuple, transactions.cover_sizes(sets, small).collect()))
+    monkeypatch.setattr(transactions, "MOST_SETS", 2)
+    assert sorted(map(tuple, transactions.itemset_covers(sets, small).collect())) == rows
+    assert sorted(map(tuple, transactions.cover_sizes(sets, small).collect())) == sizes
+
+
+def test_components_pass_over_the_transactions_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    held = spark.createDataFrame([(i, [f"i{i:02d}", f"i{i + 1:02d}"]) for i in range(20)], "tid long, items array<string>").mapInArrow(count, "tid long, items array<string>")
+    assert {r.component for r in transactions.item_components(held).collect()} == {"i00"} and seen.value == 20
