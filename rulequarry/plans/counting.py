@@ -126,23 +126,23 @@ SELECT x || '=>' || y AS rule_id, x, y, fx, f AS fy, fz FROM joint JOIN fx USING
 
 @query(_mine_sql(1, 10, 1.0))
 def mine_rules_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.mine(tx(spark, sf_dir), least=10, confidence=1.0, most=1).drop("size")
+    return mining.mine(held(spark, sf_dir), least=10, confidence=1.0, most=1).drop("size")
 
 
 @query(_mine_sql(2, 10, 1.0))
 def mine_rules_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.mine(tx(spark, sf_dir), least=10, confidence=1.0, most=2).where("size = 2").drop("size")
+    return mining.mine(held(spark, sf_dir), least=10, confidence=1.0, most=2).where("size = 2").drop("size")
 
 
 @query(_mine_sql(3, 20, 30.0))
 def mine_rules_l3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.mine(tx(spark, sf_dir), least=20, confidence=30.0, most=3).where("size = 3").drop("size")
+    return mining.mine(held(spark, sf_dir), least=20, confidence=30.0, most=3).where("size = 3").drop("size")
 
 
 @query()
 def mine_rules_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unbounded antecedents by FP-growth, for comparison with the level-wise miner."""
-    return mining.growth_rules(tx(spark, sf_dir), 0.01, 0.3).select("x", "y", r6("confidence").alias("confidence"), r6("support").alias("support"))
+    return mining.growth_rules(held(spark, sf_dir), 0.01, 0.3).select("x", "y", r6("confidence").alias("confidence"), r6("support").alias("support"))
 
 
 @query("""WITH ev AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS tid, event_type, value FROM events),

@@ -322,3 +322,29 @@ def test_components_pass_over_the_transactions_once(spark, monkeypatch):
 
     held = spark.createDataFrame([(i, [f"i{i:02d}", f"i{i + 1:02d}"]) for i in range(20)], "tid long, items array<string>").mapInArrow(count, "tid long, items array<string>")
     assert {r.component for r in transactions.item_components(held).collect()} == {"i00"} and seen.value == 20
+
+
+def mixed(spark):
+    """Transactions with no, one and several classes."""
+    rng = random.Random(11)
+    own = [sorted(rng.sample("abcdefgh", rng.randrange(0, 7))) + rng.choice([[], ["status=1"], ["status=2"], ["status=1", "status=2"]]) for _ in range(300)]
+    return own, transactions.from_arrays(spark.createDataFrame(list(enumerate(own)), "tid long, items array<string>"))
+
+
+@pytest.mark.parametrize("limits", [{}, {"CELLS": 1, "CHUNK": 50}, {"CHUNK": 50}, {"MOST_SETS": 20}, {"MOST_CLASSES": 1}])
+def test_miner_counts_without_moving_candidates(spark, monkeypatch, limits):
+    own, tx = mixed(spark)
+    for name, value in limits.items():
+        monkeypatch.setattr(mining, name, value)
+    want = {}
+    for y in ("status=1", "status=2"):
+        for k in (1, 2, 3):
+            for x in itertools.combinations("abcdefgh", k):
+                hold = [r for r in own if set(x) <= set(r)]
+                fz = sum(y in r for r in hold)
+                if fz >= 9 and fz * 100 >= 40 * len(hold):
+                    want[";".join(x), y] = (k, len(hold), sum(y in r for r in own), fz)
+    found = mining.mine(tx, least=9, confidence=40.0, most=3)
+    assert {(r.x, r.y): (r.size, r.fx, r.fy, r.fz) for r in found.collect()} == want and len({k for k, *_ in want.values()}) == 3
+    if "MOST_SETS" not in limits and "MOST_CLASSES" not in limits:
+        assert "Join" not in plan(found)
