@@ -348,3 +348,13 @@ def test_miner_counts_without_moving_candidates(spark, monkeypatch, limits):
     assert {(r.x, r.y): (r.size, r.fx, r.fy, r.fz) for r in found.collect()} == want and len({k for k, *_ in want.values()}) == 3
     if "MOST_SETS" not in limits and "MOST_CLASSES" not in limits:
         assert "Join" not in plan(found)
+
+
+def test_pattern_growth_in_parts(spark, monkeypatch):
+    own, tx = mixed(spark)
+    monkeypatch.setattr(mining, "PART_LEAST", 2)
+    monkeypatch.setattr(mining, "PART_ROWS", 60)
+    level = {(r.x, r.y): r.fz / r.fx for r in mining.mine(tx, least=9, confidence=40.0, most=None).collect()}
+    n = tx.select("tid").distinct().count()
+    growth = mining.growth_rules(tx, 8.5 / n, 0.4).collect()
+    assert {(r.x, r.y): r.confidence for r in growth} == level and max(r.support for r in growth) > 9 / n
