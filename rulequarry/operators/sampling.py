@@ -1,7 +1,8 @@
 """Rule samplers: reproducible hash draws as plain DataFrames, and Markov chains that run side by side.
 
-A chain walks over transactions or over mined rules.  Of transactions a worker gets one bit per transaction and item, and
-counts each rule when the chain comes to it: antecedents may have any size and frequency.  Of mined rules it gets the
+A chain walks over transactions or over mined rules.  Of transactions the shared folder holds one bit per transaction and
+item, in segments of some transactions; a worker looks up the items it needs and counts each rule when the chain comes to
+it: antecedents may have any size and frequency, and neither driver nor worker holds all.  Of mined rules a worker gets the
 frequencies; a rule that is not among them scores 0.
 """
 
@@ -9,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import time
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -18,14 +21,17 @@ from random import Random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.probability import hash_coin, hash_key
+from ..sources import files
 from . import transactions as tx_
 
 MOST_RULES = 2_000_000  # mined rules that are sent to every worker
-MOST_COVER = 256 << 20  # bytes of covers that are sent to every worker
+SEGMENT = 16 << 20  # bytes of bits that a worker packs at a time
+RECENT = 64 << 20  # bytes of covers of antecedents that a chain remembers, one at least
 
 
 def kfold(df: DataFrame, key: Sequence[str], k: int, seed: str = "42") -> DataFrame:
@@ -45,8 +51,9 @@ def random_rules(tx: DataFrame, tries: int, seed: str = "1") -> DataFrame:
     An antecedent item stays by a fair hash coin; the class item of least digest is the consequent.  Empty antecedents
     and transactions without a class are dropped, equal rules merged.
     """
-    rows = tx.select("tid").distinct().orderBy(hash_key("tid", seed=seed), "tid").limit(tries)
-    own = tx.join(rows, "tid")
+    held = tx_.baskets(tx)
+    rows = held.select("tid").orderBy(hash_key("tid", seed=seed), "tid").limit(tries)
+    own = tx_.long(held.join(F.broadcast(rows), "tid"))  # ``tries`` rows
     cls = tx_.is_class("item")
     kept = F.when(~cls & (hash_coin("tid", "item", seed=seed) < 0.5), F.col("item"))
     pick = F.min_by("item", hash_key("tid", "item", seed=seed)).alias("y")
@@ -73,24 +80,75 @@ def grid(low: Sequence[float], high: Sequence[float], n: int, spark) -> DataFram
 Frequencies = dict[tuple[frozenset, str], tuple[int, int, int]]
 
 
+@dataclass
+class Segment:
+    """Some transactions of a file: from byte ``at`` on, a row of 64-bit words for each item."""
+
+    file: str
+    at: int
+    rows: int
+
+
 class Covers:
     """Frequencies of any rule, counted when asked for: bit t of an item's row says that transaction t has it."""
 
-    def __init__(self, names: list[str], bits: np.ndarray, rows: int, classes: set[str]):
-        self.at, self.bits, self.rows, self.classes = {name: i for i, name in enumerate(names)}, bits, rows, classes
-        self.counted: dict[tuple[frozenset, str], tuple[int, int, int]] = {}
+    def __init__(self, names: list[str], segments: list[Segment], classes: set[str]):
+        self.at, self.segments, self.classes = {name: i for i, name in enumerate(names)}, segments, classes
+        self.start = np.cumsum([0, *(s.rows for s in segments)])
+        self.rows = int(self.start[-1])
+        self.files: dict[str, object] = {}
+        self.of_class: dict[str, int] = {}
+        self.of_set: dict[frozenset, int] = {}
+        self.of_rule: dict[tuple[frozenset, str], int] = {}
+        self.recent: OrderedDict[frozenset, list[np.ndarray]] = OrderedDict()
 
     def __len__(self) -> int:
         return self.rows
 
+    def item(self, name: str, segment: Segment) -> np.ndarray:
+        """An item's bits in a segment, mapped where the folder is local."""
+        if segment.file not in self.files:
+            system, path = _filesystem(segment.file)
+            self.files[segment.file] = np.memmap(path, np.uint64, "r") if system.type_name == "local" else system.open_input_file(path)
+        file, words = self.files[segment.file], -(-segment.rows // 64)
+        start = segment.at // 8 + self.at[name] * words
+        return file[start : start + words] if isinstance(file, np.memmap) else np.frombuffer(file.read_at(8 * words, 8 * start), np.uint64)
+
+    def cover(self, x: frozenset) -> list[np.ndarray]:
+        """The bits of an antecedent by segment; the last ones are remembered, and one item more is one step from there."""
+        if x not in self.recent:
+            near = next((i for i in x if x - {i} in self.recent), None)
+            if near is not None:
+                found = [old & self.item(near, s) for old, s in zip(self.recent[x - {near}], self.segments)]
+            else:
+                found = []
+                for s in self.segments:
+                    bits = None
+                    for i in x:
+                        bits = self.item(i, s) if bits is None else bits & self.item(i, s)
+                    found.append(bits)
+            self.recent[x] = found
+            while len(self.recent) > max(1, RECENT // max(1, self.rows // 8)):
+                self.recent.popitem(last=False)
+        self.recent.move_to_end(x)
+        return self.recent[x]
+
+    def fx(self, x: frozenset) -> int:
+        """How many transactions hold ``x``; the empty antecedent is in every one."""
+        if x not in self.of_set:
+            self.of_set[x] = sum(int(np.bitwise_count(b).sum()) for b in self.cover(x)) if x else self.rows
+        return self.of_set[x]
+
+    def fy(self, y: str) -> int:
+        if y not in self.of_class:
+            self.of_class[y] = sum(int(np.bitwise_count(self.item(y, s)).sum()) for s in self.segments)
+        return self.of_class[y]
+
     def count(self, x: frozenset, y: str) -> tuple[int, int, int]:
-        """(fx, fy, fz); the empty antecedent is in every transaction."""
-        if (x, y) not in self.counted:
-            own = self.bits[self.at[y]]
-            all_ = np.bitwise_and.reduce(self.bits[[self.at[i] for i in x]], axis=0) if x else None
-            fy = int(np.bitwise_count(own).sum())
-            self.counted[x, y] = (self.rows, fy, fy) if all_ is None else (int(np.bitwise_count(all_).sum()), fy, int(np.bitwise_count(all_ & own).sum()))
-        return self.counted[x, y]
+        """(fx, fy, fz)."""
+        if (x, y) not in self.of_rule:
+            self.of_rule[x, y] = sum(int(np.bitwise_count(b & self.item(y, s)).sum()) for b, s in zip(self.cover(x), self.segments)) if x else self.fy(y)
+        return self.fx(x), self.fy(y), self.of_rule[x, y]
 
     def get(self, rule: tuple[frozenset, str]) -> tuple[int, int, int] | None:
         """The frequencies of a valid rule: none of them is 0 or the number of transactions."""
@@ -102,7 +160,9 @@ class Covers:
         out: dict[tuple[frozenset, str], None] = {}
         for _ in range(200 * k):
             t = random.randrange(self.rows)
-            own = [name for name, i in self.at.items() if int(self.bits[i, t >> 6]) >> (t & 63) & 1]
+            at = int(np.searchsorted(self.start, t, side="right")) - 1
+            t -= int(self.start[at])
+            own = [name for name in self.at if int(self.item(name, self.segments[at])[t >> 6]) >> (t & 63) & 1]
             x = frozenset(i for i in own if i not in self.classes and random.random() < 0.5)
             y = [i for i in own if i in self.classes]
             if x and y and self.get(rule := (x, random.choice(y))):
@@ -209,21 +269,60 @@ class Chain:
             self.best[self.x, self.y] = s
 
 
-def _load_covers(tx: DataFrame) -> tuple[list[str], np.ndarray, int]:
-    size = tx.agg(F.count_distinct("tid"), F.count_distinct("item")).first()
-    if size[0] * size[1] / 8 > MOST_COVER:
-        raise ValueError(f"covers of {size[1]} items in {size[0]} transactions are too large to walk over")
-    lists = tx_.baskets(tx).orderBy("tid").select("items").toArrow().column("items")  # bounded by MOST_COVER
-    rows = len(lists)
-    if not rows:
-        return [], np.zeros((0, 0), np.uint64), 0
-    lists = pa.concat_arrays(lists.chunks)
-    item = lists.flatten().dictionary_encode()
-    names = item.dictionary.to_pylist()
-    t = np.repeat(np.arange(rows), lists.value_lengths().to_numpy())
-    bits = np.zeros((len(names), -(-rows // 64)), np.uint64)
-    np.bitwise_or.at(bits, (item.indices.to_numpy(), t >> 6), np.uint64(1) << (t & 63).astype(np.uint64))
-    return names, bits, rows
+def _filesystem(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
+
+
+def _load_covers(tx: DataFrame) -> tuple[list[str], list[Segment]]:
+    """Item names in the order in which they come up, and the segments of the transactions in order of their ids."""
+    held = files.kept(tx_.baskets(tx))
+    null = F.max(F.col("tid").isNull().cast("int")).alias("null")
+    first = tx_.long(held).groupBy("item").agg(F.min("tid").alias("tid"), null).orderBy(F.desc("null"), "tid", "item")
+    names = [r.item for r in first.select("item").collect()]  # as many as there are items
+    folder = files.work_dir(tx.sparkSession)
+    most = max(64, SEGMENT * 8 // max(1, len(names)) // 64 * 64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = _filesystem(folder)
+        system.create_dir(path, recursive=True)
+        file, known = f"{folder}/{uuid.uuid4().hex}.bits", pa.array(names, pa.string())
+        sizes: list[int] = []
+        with system.open_output_stream(_filesystem(file)[1]) as out:
+
+            def flush(lists: list[pa.Array]) -> None:
+                rows = sum(map(len, lists))
+                bits = np.zeros((len(names), -(-rows // 64)), np.uint64)
+                start = 0
+                for part in lists:
+                    row, item = tx_.ids_of(part, known)
+                    row += start
+                    np.bitwise_or.at(bits, (item, row >> 6), np.uint64(1) << (row & 63).astype(np.uint64))
+                    start += len(part)
+                out.write(bits.tobytes())
+                sizes.append(rows)
+
+            lists, held_ = [], 0
+            for batch in batches:
+                at = 0
+                while at < batch.num_rows:
+                    part = batch.column(0).slice(at, most - held_)
+                    lists.append(part)
+                    at, held_ = at + len(part), held_ + len(part)
+                    if held_ == most:
+                        flush(lists)
+                        lists, held_ = [], 0
+            if lists:
+                flush(lists)
+        ats = np.cumsum([0, *(8 * len(names) * -(-n // 64) for n in sizes)])[:-1]
+        number = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([number] * len(sizes), pa.int32()), pa.array([file] * len(sizes), pa.string()), pa.array(ats.tolist(), pa.int64()), pa.array(sizes, pa.int64())], names=["part", "file", "at", "rows"])
+
+    # a segment is named by the task that wrote it, so a retried task does no harm
+    ordered = held.repartitionByRange(tx_.tasks(tx.sparkSession, held, each=4 << 20), "tid").sortWithinPartitions("tid")  # a stored basket takes a few bytes
+    found = ordered.select("items").mapInArrow(pack, "part int, file string, at bigint, rows bigint").collect()  # a row for each segment
+    return names, [Segment(r.file, r["at"], r.rows) for r in sorted(found)]
 
 
 def _load(rules: DataFrame, n: int) -> tuple[Frequencies, list[str], list[str]]:
@@ -239,15 +338,16 @@ def _chains(rules: DataFrame, n: int, chains: int, seed: str, walk: Callable[[Ch
     spark = rules.sparkSession
     walks_covers = "tid" in rules.columns
     if walks_covers:
-        names, bits, rows_ = _load_covers(rules)
-        classes_ = sorted(r.item for r in rules.where(tx_.is_class() if class_item is None else class_item).select("item").distinct().collect())
-        shared = spark.sparkContext.broadcast((names, bits, rows_, classes_))
+        names, segments = _load_covers(rules)
+        classes_ = sorted(r.item for r in spark.createDataFrame([(i,) for i in names], "item string").where(tx_.is_class() if class_item is None else class_item).collect())
+        shared = spark.sparkContext.broadcast((names, segments, classes_))
     else:
         shared = spark.sparkContext.broadcast(_load(rules, n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if walks_covers:
-            freq, classes = Covers(*shared.value[:3], set(shared.value[3])), shared.value[3]
+            classes = shared.value[2]
+            freq = Covers(*shared.value[:2], set(classes))
             items = sorted(set(shared.value[0]) - set(classes))
         else:
             freq, items, classes = shared.value

@@ -358,3 +358,20 @@ def test_pattern_growth_in_parts(spark, monkeypatch):
     n = tx.select("tid").distinct().count()
     growth = mining.growth_rules(tx, 8.5 / n, 0.4).collect()
     assert {(r.x, r.y): r.confidence for r in growth} == level and max(r.support for r in growth) > 9 / n
+
+
+def test_chains_walk_over_segments(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    own, tx = mixed(spark)
+    draw = lambda: [sorted(map(tuple, f(tx, len(own)).collect())) for f in (sampling.smas, sampling.gibbs, sampling.mmas, sampling.random_sample)]
+    whole = draw()
+    monkeypatch.setattr(sampling, "SEGMENT", 80)
+    monkeypatch.setattr(sampling, "RECENT", 1)
+    monkeypatch.setattr(DataFrame, "toArrow", None)  # the driver takes no transactions
+    assert draw() == whole and all(whole)
+    covers = sampling._load_covers(tx)
+    assert len(covers[1]) > 3 and max(s.rows for s in covers[1]) <= 64
+    for x, y in (("a", "status=1"), ("ab", "status=2"), ("", "status=1")):
+        hold = [r for r in own if r and set(x) <= set(r)]
+        assert sampling.Covers(*covers, set()).count(frozenset(x), y) == (len(hold), sum(y in r for r in own), sum(y in r for r in hold))
