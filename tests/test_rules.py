@@ -375,3 +375,14 @@ def test_chains_walk_over_segments(spark, monkeypatch):
     for x, y in (("a", "status=1"), ("ab", "status=2"), ("", "status=1")):
         hold = [r for r in own if r and set(x) <= set(r)]
         assert sampling.Covers(*covers, set()).count(frozenset(x), y) == (len(hold), sum(y in r for r in own), sum(y in r for r in hold))
+
+
+@needs_data
+def test_a_log_mines_once(spark, monkeypatch):
+    plans = []
+    append = files.append_log
+    monkeypatch.setattr(files, "append_log", lambda df, path: (plans.append(plan(df)), append(df, path)))
+    from rulequarry.plans import registry
+
+    assert registry.QUERIES["score_log_trip"](spark, TINY).count() == 4
+    assert len(plans) == 4 and not any("lineitem" in p for p in plans)
