@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import rules, sampling, transactions
+from ..operators import mining, rules, sampling
 from ..sources import files
-from .base import MEASURED, RULES, TX, measured, one, query, r6, table, total, tx
+from .base import MEASURED, RULES, TX, held, measured, one, query, r6, table, total
 
 
 @query("SELECT o_orderkey AS tid, (('0x' || substr(md5('42|' || o_orderkey), 1, 8))::BIGINT % 5)::INTEGER AS fold FROM orders")
@@ -33,7 +33,7 @@ SELECT x || '=>' || y AS rule_id, fx, fy, fz FROM f WHERE least(fx, fy, fz) > 0
 @query(RANDOM)
 def random_valid_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules read off random transactions, with their frequencies, if these are neither none nor all."""
-    t = tx(spark, sf_dir)
+    t = files.kept(held(spark, sf_dir))  # three passes over it
     found = files.with_frequencies(sampling.random_rules(t, 60), t).crossJoin(F.broadcast(total(spark, sf_dir)))  # one row
     return found.where(rules.is_nontrivial()).select("rule_id", "fx", "fy", "fz").orderBy("rule_id").limit(20)
 
@@ -49,7 +49,7 @@ def alternatives_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walkable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    return tx(spark, sf_dir), table(spark, sf_dir, "orders").count()
+    return held(spark, sf_dir), table(spark, sf_dir, "orders").count()
 
 
 @query()
@@ -97,7 +97,8 @@ def rule_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + RULES + " SELECT rule_id, fx, fy, fz FROM r")
 def recounted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies of given rules counted anew through item-set covers."""
-    return files.with_frequencies(one(spark, sf_dir).select("x", "y"), tx(spark, sf_dir)).select("rule_id", "fx", "fy", "fz")
+    t = files.kept(held(spark, sf_dir))  # the rules are mined on it, then counted
+    return files.with_frequencies(mining.one_item_rules(t, total(spark, sf_dir)).select("x", "y"), t).select("rule_id", "fx", "fy", "fz")
 
 
 @query("WITH " + MEASURED + " SELECT '[' || x || '] => [' || y || ']' AS \"Rule\", round(confidence, 6) + 0.0 AS confidence, round(lift, 6) + 0.0 AS lift FROM m ORDER BY round(confidence, 9) DESC, rule_id LIMIT 50")
