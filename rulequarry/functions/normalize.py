@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def normalize(df: DataFrame, columns: Sequence[str], method: str, *, exact: bool
     """``columns`` replaced by their normalized values, the statistics taken over the whole DataFrame.
 
     One aggregation and a join with its single row; the empirical distribution function is a window instead
-    (``exact``) or a KLL sketch.
+    (``exact``) or a KLL sketch, whose marks the workers look each value up in.  Exact medians come from a few passes.
     """
     if method not in METHODS:
         raise ValueError(f"unknown normalization {method!r}")
@@ -58,16 +60,73 @@ def normalize(df: DataFrame, columns: Sequence[str], method: str, *, exact: bool
             return _exact_cdf(df, columns)
         sketch = df.agg(*(F.kll_sketch_agg_double(F.col(c)).alias(f"__{c}") for c in columns))
         share = [i / 256 for i in range(257)]
-        marks = sketch.select(*(F.kll_sketch_get_quantile_double(f"__{c}", F.array(*map(F.lit, share))).alias(f"__{c}") for c in columns))
-        out = df.crossJoin(F.broadcast(marks))  # one row
-        rank = lambda c: F.size(F.filter(f"__{c}", lambda q: q <= F.col(c))) / 257
-        return out.withColumns({c: F.when(F.col(c).isNotNull(), rank(c)) for c in columns}).select(*df.columns)
+        marks = sketch.select(*(F.kll_sketch_get_quantile_double(f"__{c}", F.array(*map(F.lit, share))).alias(f"__{c}") for c in columns)).first()
+        return df.withColumns({c: _rank(marks[i] or [])(F.col(c).cast("double")) for i, c in enumerate(columns)}).select(*df.columns)
+    if method == "MEDIAN_NORMALIZATION" and exact:
+        middle = {c: F.lit(m).cast("double") for c, m in zip(columns, exact_medians(df, columns))}
+        return df.withColumns({c: expression(method, F.col(c), {"median": middle[c]}) for c in columns}).select(*df.columns)
     stats = df.agg(*(x.alias(f"__{c}_{k}") for c in columns for k, x in statistics(c, median=method == "MEDIAN_NORMALIZATION", exact=exact).items()))
     out = df.crossJoin(F.broadcast(stats))  # one row
     names = ["count", "sum", "sum_sq", "min", "max", "mean", "std", "max_abs", "digits", *(["median"] if method == "MEDIAN_NORMALIZATION" else [])]
     return out.withColumns({c: expression(method, F.col(c), {k: F.col(f"__{c}_{k}") for k in names}) for c in columns}).select(*df.columns)
 
 
+def _rank(marks: Sequence[float]) -> Callable[[Column], Column]:
+    """The share of ``marks``, in order, that are not above a value."""
+    ordered = np.array(marks, np.float64)
+
+    def rank(v: pd.Series) -> pd.Series:
+        found = np.searchsorted(ordered, v.to_numpy(np.float64, na_value=np.nan), side="right") / 257
+        return pd.Series(found)
+
+    share = F.pandas_udf(rank, "double")
+    return lambda v: F.when(v.isNotNull(), share(v))
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str], few: int = 10_000, accuracy: int = 10_000) -> list[float | None]:
+    """The median of every column, that of the two middle values where their number is even; None without values.
+
+    A pass over the rows narrows each column down to the values between two approximate percentiles around the middle;
+    once ``few`` distinct values at most are left, they are counted, in order.  So no task holds a column's values.
+    """
+    v = {c: F.col(c).cast("double") for c in columns}
+    told = df.agg(*(x for i, c in enumerate(columns) for x in (F.count(v[c]).alias(f"n{i}"), F.approx_count_distinct(v[c]).alias(f"d{i}")))).first()
+    state = {c: (0, told[f"n{i}"], told[f"d{i}"]) for i, c in enumerate(columns)}  # values below the span, in it, distinct ones in it
+    span: dict[str, tuple[float, float] | None] = {c: None for c in columns}  # None: all values
+    inside = lambda c: v[c].isNotNull() if span[c] is None else (v[c] >= F.lit(span[c][0])) & (v[c] <= F.lit(span[c][1]))
+    below = lambda c: F.lit(False) if span[c] is None else v[c] < F.lit(span[c][0])
+    open_ = [c for c in columns if state[c][1]]
+    out: dict[str, float | None] = {c: None for c in columns}
+    ranks = {c: ((state[c][1] - 1) // 2, state[c][1] // 2) for c in columns}
+    while open_:
+        for c in [c for c in open_ if state[c][2] <= few]:
+            before = state[c][0]
+            for r in df.where(inside(c)).groupBy(v[c].alias("v")).agg(F.count("*").alias("n")).orderBy("v").collect():  # about ``few`` rows
+                hit = [before <= k < before + r.n for k in ranks[c]]
+                if hit[0]:
+                    out[c] = r.v
+                if hit[1]:
+                    out[c] = r.v if hit[0] else 0.5 * out[c] + 0.5 * r.v
+                    break
+                before += r.n
+            if out[c] is None:  # the percentiles missed the middle
+                out[c] = df.agg(F.percentile(v[c], F.lit(0.5))).first()[0]
+            open_.remove(c)
+        if not open_:
+            break
+        edges = {}
+        for c in open_:
+            before, n, _ = state[c]
+            low, high = ((k - before) / n for k in ranks[c])
+            edges[c] = [max(0.0, low - 3 / accuracy), min(1.0, high + 3 / accuracy)]
+        marks = df.agg(*(F.percentile_approx(F.when(inside(c), v[c]), edges[c], accuracy).alias(str(i)) for i, c in enumerate(open_))).first()
+        for i, c in enumerate(open_):
+            span[c] = tuple(marks[i])
+        told = df.agg(*(x for i, c in enumerate(open_) for x in (F.count(F.when(below(c), 1)).alias(f"b{i}"), F.count(F.when(inside(c), 1)).alias(f"n{i}"), F.approx_count_distinct(F.when(inside(c), v[c])).alias(f"d{i}")))).first()
+        state = {c: (told[f"b{i}"], told[f"n{i}"], told[f"d{i}"]) for i, c in enumerate(open_)}
+    return [out[c] for c in columns]
+
+
 def _exact_cdf(df: DataFrame, columns: Sequence[str], parts: int = 256) -> DataFrame:
     """cume_dist of every column without a window over all rows.
 

@@ -386,3 +386,20 @@ def test_a_log_mines_once(spark, monkeypatch):
 
     assert registry.QUERIES["score_log_trip"](spark, TINY).count() == 4
     assert len(plans) == 4 and not any("lineitem" in p for p in plans)
+
+
+def test_medians_of_many_values(spark):
+    rng = np.random.default_rng(9)
+    for n in (1999, 2000):
+        table = [(float(a), float(b), None, float(c)) for a, b, c in zip(rng.normal(size=n), rng.integers(0, 3, n), np.exp(rng.normal(size=n) * 20))]
+        df = spark.createDataFrame(table, "a double, b double, c double, d double")
+        got = normalize.exact_medians(df, ["a", "b", "c", "d"], few=50, accuracy=100)
+        assert [got[0], got[1], got[3]] == pytest.approx([float(np.median([r[i] for r in table])) for i in (0, 1, 3)], rel=1e-12) and got[2] is None
+
+
+def test_sketched_ranks_are_looked_up(spark):
+    df = spark.createDataFrame([(v,) for v in [None, float("nan"), *map(float, range(999))]], "v double")
+    out = normalize.normalize(df, ["v"], "EMPIRICAL_CDF", exact=False)
+    assert "lambda" not in plan(out)
+    got = [r.v for r in out.collect()]
+    assert got[0] is None and got[1] == 1 and got[2:] == sorted(got[2:]) and 0.99 < got[-1] <= 1
